@@ -6,14 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrywork.llm import quality
+from ferrywork.llm import bpe, chat, licenses, quality, token_counts
 from ferrywork.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, d), _tokenizer("piece_bpe_32k.model"))
+
+
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, d)).drop("spans")
+
+
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    turns = documents(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(chat.PROBE))
+    return chat.format_conversations(turns, _tokenizer("byte_bpe_50k.tiktoken"), _pattern())
+
+
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, d), _tokenizer("byte_bpe_multi_50k.tiktoken"), _pattern())
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_token_counts": op1,
+        "op3_license_scans": op3,
+        "op5_chat_formatting": op5,
+        "op9_byte_bpe": op9,
         "op6_quality_rules": lambda spark, d: quality.quality_rules(documents(spark, d)),
     }
 
