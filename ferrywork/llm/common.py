@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,5 +108,48 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.ChunkedArray]]:
+    """The runs of two or more equal keys (the first `keys` columns, no nulls) of a sorted stream, one at a time."""
+    rest: pa.Table | None = None
+
+    def runs(table: pa.Table, last: bool):
+        n = table.num_rows
+        change = np.zeros(max(n - 1, 0), bool)
+        for c in range(keys):
+            values = table.column(c).to_numpy()
+            change |= values[1:] != values[:-1]
+        bounds = np.concatenate([[0], np.flatnonzero(change) + 1, [n]])
+        if not last:
+            bounds = bounds[:-1]
+        for k in np.flatnonzero(np.diff(bounds) > 1):
+            yield table.slice(bounds[k], bounds[k + 1] - bounds[k]).columns
+        return table.slice(bounds[-1])
+
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            rest = yield from runs(table if rest is None else pa.concat_tables([rest, table]).combine_chunks(), False)
+    if rest is not None and rest.num_rows:
+        yield from runs(rest, True)
+
+
+def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges of a spanning forest over n nodes: every connection, without every pair.
+
+    near(node, others) says which of the others are linked to the node; it is asked only about nodes not yet reached,
+    so a group that is all linked costs n comparisons.
+    """
+    left, out = np.arange(n), []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            node = queue.pop()
+            hit = near(node, left)
+            new, left = left[hit], left[~hit]
+            out += [(node, int(x)) for x in new]
+            queue += new.tolist()
+    return out
+
+
 def utf8(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
