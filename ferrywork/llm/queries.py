@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrywork.llm import bpe, chat, licenses, quality, simhash, token_counts
+from ferrywork.llm import bpe, chat, licenses, quality, simhash, substring, token_counts
 from ferrywork.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,7 @@ def queries() -> dict[str, Query]:
         "op3_license_scans": op3,
         "op4_simhash": lambda spark, d: simhash.near_duplicates(documents(spark, d)),
         "op5_chat_formatting": op5,
+        "op10_substring_dedup": lambda spark, d: substring.repeated_passages(documents(spark, d)),
         "op9_byte_bpe": op9,
         "op6_quality_rules": lambda spark, d: quality.quality_rules(documents(spark, d)),
     }
