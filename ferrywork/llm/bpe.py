@@ -18,25 +18,34 @@ from ferrywork.llm.common import map_batches
 WHITE = "\t-\r \x85\xa0" + chr(0x1680) + f"{chr(0x2000)}-{chr(0x200A)}" + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
-#: Stretches of text whose ids one worker remembers; beyond it starts anew, so memory is bounded.
-REMEMBERED = 300_000
+#: Stretches of text whose ids one worker remembers in each of two generations, so memory is bounded.
+REMEMBERED = 250_000
 
 
 class Memo(dict):
-    """A bounded dict that computes what it lacks."""
+    """A dict that computes what it lacks. When full, its entries become the old generation; those used again return."""
 
     def __init__(self, compute, limit: int = REMEMBERED, longest: int = 64):
-        self.compute, self.limit, self.longest = compute, limit, longest
+        self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(key) <= self.longest:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
+#: Prefixes whose last tokens one worker remembers; beyond it starts anew.
+PREFIXES = 400_000
+#: Lengths of tokens to try where no longer token ends in the last four bytes.
+SHORT = (4, 3, 2, 1)
+
+
 class Prefixes:
     """The table of one byte string: for each prefix, the unique last token of its encoding.
 
@@ -47,7 +56,8 @@ class Prefixes:
 
     def __init__(self, codec: Codec, data: bytes = b""):
         self.codec, self.data, self.last = codec, b"", []
-        self.append(data)
+        if data:
+            self.append(data)
 
     def append(self, more: bytes) -> Prefixes:
         self.data += more
@@ -65,12 +75,21 @@ class Prefixes:
     def _extend(self, to: int, before) -> int:
         """With `before`, stops as soon as as many prefixes in a row agree with the old table as a token can be long."""
         codec, data, last = self.codec, self.data, self.last
-        ranks, fits, alone, longest = codec.ranks, codec.fits, codec.alone, codec.longest
+        ranks, known, fits, alone, longest, lengths = codec.ranks.get, codec.known.get, codec.fits, codec.alone, codec.longest, codec.lengths.get
         agreed, first = 0, len(last)
         for e in range(first + 1, to + 1):
-            for s in range(max(0, e - longest), e):
-                t = ranks.get(data[s:e])
-                if t is not None and (alone(t) if s == 0 else fits(last[s - 1], t)):
+            for n in lengths(data[e - 4 : e] if e > 4 else data[:e], SHORT):
+                if n > e:
+                    continue
+                s = e - n
+                t = ranks(data[s:e])
+                if t is None:
+                    continue
+                if s == 0:
+                    ok = alone(t)
+                elif (ok := known(last[s - 1] << 32 | t)) is None:
+                    ok = fits(last[s - 1], t)
+                if ok:
                     last.append(t)
                     break
             else:
@@ -102,10 +121,29 @@ class Codec:
         self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s+(?!\S)", f"[{WHITE}]+(?![^{WHITE}])").replace(r"\s+", f"[{WHITE}]+"))
         self.spaces = re.compile(f" (?=[^{WHITE}])")
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         self._split: dict[int, tuple[int, int] | None] = {}
+        self.lengths = self._lengths()
+        self.child: dict[int, int] = {}
+        self.last_of = [0]
         self.pieces = Memo(self._piece)
-        self.after_space = Memo(lambda w: ",".join(map(self.pieces.__getitem__, self.pattern.findall(" " + w))))
+        self.after_space = Memo(self._after_space)
+
+    def _lengths(self) -> dict[bytes, tuple[int, ...]]:
+        """Lengths, longest first, of the tokens that end in given four bytes, besides the short ones."""
+        found: dict[bytes, set[int]] = {}
+        for token in self.ranks:
+            if len(token) > 4:
+                found.setdefault(token[-4:], set()).add(len(token))
+        return {end: (*sorted(lengths, reverse=True), *SHORT) for end, lengths in found.items()}
+
+    def _after_space(self, word: str) -> str:
+        """Ids of a stretch that follows a space. Letters alone are one match of the pattern, with the space."""
+        if word.isalpha():
+            return self._piece(" " + word)
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            return f"{self.after_space[word[:-1]]},{self.pieces[word[-1]]}"
+        return ",".join(map(self.pieces.__getitem__, self.pattern.findall(" " + word)))
 
     def merged(self, data: bytes) -> list[bytes]:
         """Plain merging, lowest rank first, leftmost among equals; stops before the last merge that leaves one part."""
@@ -134,10 +172,10 @@ class Codec:
         first, and look at the pair that touches across: if it has a token of a lower rank than the merge that would
         use up one of its sides, it merges first, and a, b never come to be. Equal ranks go to the leftmost pair.
         """
-        if (known := self._fits.get((a, b))) is not None:
+        if (known := self.known.get(a << 32 | b)) is not None:
             return known
-        if len(self._fits) > 2_000_000:
-            self._fits.clear()
+        if len(self.known) > 1_000_000:
+            self.known.clear()
         x, y, ok = a, b, self.alone(a) and self.alone(b)
         until = 1 << 60  # the rank at which x or y is used up by a merge inside its own side; across must come before it
         while ok:
@@ -152,13 +190,35 @@ class Codec:
                 until, x = x, sx[1]
             else:  # y came last; at an equal rank the pair across is further left and goes first
                 until, y = y + 1, sy[0]
-        self._fits[(a, b)] = ok
+        self.known[a << 32 | b] = ok
         return ok
 
     def _piece(self, piece: str) -> str:
+        """Ids of one match of the pattern: its longest remembered prefix, exactly appended to."""
         data = piece.encode()
         t = self.ranks.get(data)
-        return str(t) if t is not None and self.alone(t) else ",".join(map(str, Prefixes(self, data).ids()))
+        if t is not None and self.alone(t):
+            return str(t)
+        child, last_of, table, node = self.child, self.last_of, Prefixes(self), 0
+        last = table.last
+        for byte in data:
+            at = child.get(node << 8 | byte)
+            if at is None:
+                break
+            node = at
+            last.append(last_of[at])
+        have = len(last)
+        table.data = data[:have]
+        table.append(data[have:])
+        if len(data) <= 64:
+            if len(last_of) > PREFIXES:
+                child.clear()
+                del last_of[1:]
+            else:
+                for byte, t in zip(data[have:], last[have:], strict=True):
+                    node = child[node << 8 | byte] = len(last_of)
+                    last_of.append(t)
+        return ",".join(map(str, table.ids()))
 
     def encode_joined(self, text: str) -> str:
         """Decimal ids, joined by commas.
