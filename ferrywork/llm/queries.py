@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrywork.llm import bpe, chat, licenses, quality, simhash, substring, token_counts
+from ferrywork.llm import bpe, chat, licenses, mixing, quality, simhash, substring, token_counts
 from ferrywork.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,7 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1,
+        "op2_mixing": lambda spark, d: mixing.mix_documents(documents(spark, d)),
         "op3_license_scans": op3,
         "op4_simhash": lambda spark, d: simhash.near_duplicates(documents(spark, d)),
         "op5_chat_formatting": op5,
