@@ -6,26 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrywork.llm import bpe, chat, licenses, mixing, quality, simhash, substring, token_counts
+from ferrywork.llm import ann, bpe, chat, licenses, mixing, quality, simhash, substring, token_counts, toxicity
 from ferrywork.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def _pattern() -> str:
+def pattern() -> str:
     import public_tokenizers
 
     return public_tokenizers.PATTERN
 
 
 def op1(spark: SparkSession, d: str) -> DataFrame:
-    return token_counts.count_tokens(documents(spark, d), _tokenizer("piece_bpe_32k.model"))
+    return token_counts.count_tokens(documents(spark, d), tokenizer("piece_bpe_32k.model"))
 
 
 def op3(spark: SparkSession, d: str) -> DataFrame:
@@ -34,11 +34,11 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
 
 def op5(spark: SparkSession, d: str) -> DataFrame:
     turns = documents(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(chat.PROBE))
-    return chat.format_conversations(turns, _tokenizer("byte_bpe_50k.tiktoken"), _pattern())
+    return chat.format_conversations(turns, tokenizer("byte_bpe_50k.tiktoken"), pattern())
 
 
 def op9(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.round_trip(documents(spark, d), _tokenizer("byte_bpe_multi_50k.tiktoken"), _pattern())
+    return bpe.round_trip(documents(spark, d), tokenizer("byte_bpe_multi_50k.tiktoken"), pattern())
 
 
 def queries() -> dict[str, Query]:
@@ -49,6 +49,8 @@ def queries() -> dict[str, Query]:
         "op4_simhash": lambda spark, d: simhash.near_duplicates(documents(spark, d)),
         "op5_chat_formatting": op5,
         "op10_substring_dedup": lambda spark, d: substring.repeated_passages(documents(spark, d)),
+        "op7_toxicity": lambda spark, d: toxicity.toxicity(documents(spark, d), documents(spark, d, "labels")),
+        "op8_nearest_neighbours": lambda spark, d: ann.search(documents(spark, d, "embeddings")),
         "op9_byte_bpe": op9,
         "op6_quality_rules": lambda spark, d: quality.quality_rules(documents(spark, d)),
     }
