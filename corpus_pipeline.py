@@ -5,22 +5,52 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ferrywork.llm import common, quality
+from ferrywork.llm import bpe, common, mixing, quality, queries, simhash, substring
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, as they are."""
     return quality.judge(docs, prefix="_q_").where("_q_kept").select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id; rows without doc_id stay."""
+    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_doc")).distinct()
+    return docs.join(copies, F.col("doc_id").cast("bigint") == F.col("_doc"), "left_anti")
 
-#: Mixing and near-duplicate groups cannot be put in SQL; tests hold run() against a brute-force version.
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that a document of a smaller doc_id has too; emptied documents go."""
+    return substring.remove_passages(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded bytes of each document."""
+    return bpe.round_trip(docs, queries.tokenizer("byte_bpe_multi_50k.tiktoken"), queries.pattern())
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
+    ("substring_dedup", substring_stage),
+    ("mixing", mixing_stage),
+    ("byte_bpe", encoding_stage),
+]
+
+#: Near-duplicate groups and the mix cannot be put in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over all documents. What a stage writes lies in the checkpoint folder, which all share."""
     docs = common.documents(spark, sf_dir)
     root = f"{common.checkpoint_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
