@@ -120,12 +120,13 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     """
     cols = measures(F.col(text))
     split = docs.withColumns({"_words": cols.pop("_words"), "_lines": cols.pop("_lines")})
-    out = split.withColumns({f"_m_{k}": v for k, v in cols.items()})
+    # the row number keeps a filter on the verdict above this projection: pushed below, it would copy every measure
+    out = split.withColumns({**{f"_m_{k}": v for k, v in cols.items()}, "_m_row": F.monotonically_increasing_id()})
     names = {k: f"_m_{k}" for k in cols}
 
     def verdict(chosen) -> Column:
         sql = " OR ".join(fails(Rule(r.name, names[r.numerator], r.denominator and names[r.denominator], r.low, r.high)) for r in chosen)
-        return F.expr(sql)
+        return F.expr(f"({sql}) AND _m_row >= 0")
 
     out = out.withColumns({"_m_base_failed": verdict(r for r in rules if r.name in BASE_RULES), "_m_failed": verdict(rules)})
     keep = [c for c in docs.columns if c not in {f"{prefix}{k}" for k in (*names, "base_failed", "kept")}]
