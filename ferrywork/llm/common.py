@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that one Arrow batch may hold before Python works on a slice of it.
-SLICE_ROWS = 512
+#: Rows and bytes of an Arrow batch that Python works on at once (one row at least).
+SLICE_ROWS, SLICE_BYTES = 1024, 4_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -31,13 +31,14 @@ def ensure_worker_path(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
-    """mapInArrow over slices of at most SLICE_ROWS rows, so long texts never pile up in Python."""
+    """mapInArrow over slices of bounded size, so long texts never pile up in Python."""
     ensure_worker_path(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                out = fn(batch.slice(at, SLICE_ROWS))
+            rows = max(1, min(SLICE_ROWS, int(SLICE_BYTES / max(1, batch.nbytes / max(1, batch.num_rows)))))
+            for at in range(0, batch.num_rows, rows):
+                out = fn(batch.slice(at, rows))
                 if isinstance(out, pa.Table):
                     yield from out.to_batches()
                 elif out is not None:
@@ -151,5 +152,17 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[
     return out
 
 
-def utf8(text: Column | str) -> Column:
-    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+#: Bits of a sieve, as rows of 64: at most 2**18 rows whatever it was made of, so it may be broadcast.
+SIEVE_BITS = 24
+
+
+def sieved(df: DataFrame, column: str, wanted: DataFrame, name: str) -> DataFrame:
+    """The rows of df whose `column` may be among wanted[name]: all that are, and few others.
+
+    A bitmap of fixed size over hashes (a Bloom filter with one hash), put together by the executors and joined by
+    broadcast, so that rows that an exact join would drop anyway are not shuffled for it.
+    """
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(c, F.lit(5)), 64 - SIEVE_BITS)
+    bits = wanted.select(place(name).alias("_p")).groupBy(F.shiftright("_p", 6).alias("_row")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p & 63 as int))")).alias("_bits"))
+    marked = df.withColumn("_p", place(column)).join(F.broadcast(bits), F.shiftright("_p", 6) == F.col("_row"))
+    return marked.where("(shiftrightunsigned(_bits, cast(_p & 63 as int)) & 1L) = 1").select(*df.columns)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrywork.llm.common import components, cut, ensure_worker_path, forest, groups, map_batches, meeting_blocks, spooled
+from ferrywork.llm.common import components, cut, ensure_worker_path, forest, groups, map_batches, meeting_blocks, sieved, spooled
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Words that a paragraph has at least, and that a passage within one has exactly.
@@ -25,7 +25,7 @@ _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def tune(similarity: float = SIMILARITY, recall: float = 0.99, rows: int = 3) -> int:
+def tune(similarity: float = SIMILARITY, recall: float = 0.97, rows: int = 3) -> int:
     """Bands of `rows` hashes that a pair of the given similarity shares one of with at least the given probability."""
     bands = 1
     while 1 - (1 - similarity**rows) ** bands < recall:
@@ -55,17 +55,20 @@ def _fold(parts: list[np.ndarray], seed: int) -> np.ndarray:
     return out
 
 
-def word_hashes(text: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """A hash for each word (A-Z lower-cased), and the paragraphs between newlines as word ranges."""
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash for each word of all texts (A-Z lower-cased), the words up to the end of each text (one more, from 0), and
+    the paragraphs between newlines as word ranges."""
     import xxhash
 
-    words, ranges = [], []
-    for line in text.encode().translate(_LOWER).split(b"\n"):
-        start = len(words)
-        words += line.split()
-        if len(words) > start:
-            ranges.append((start, len(words)))
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), ranges
+    words, ends, ranges = [], [0], []
+    for text in texts:
+        for line in text.encode().translate(_LOWER).split(b"\n"):
+            start = len(words)
+            words += line.split()
+            if len(words) - start >= PARAGRAPH:
+                ranges.append((start, len(words)))
+        ends.append(len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), np.array(ends), np.array(ranges, np.int64).reshape(-1, 2)
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -73,29 +76,35 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return _fold([words[k : k + n] for k in range(SHINGLE)], 1) if n > 0 else np.empty(0, np.uint64)
 
 
-def paragraphs(words: np.ndarray, sh: np.ndarray, ranges: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """starts, ends, content hashes and bands (one row a paragraph) of the paragraphs of PARAGRAPH words or more."""
-    own = np.array([r for r in ranges if r[1] - r[0] >= PARAGRAPH], np.int64).reshape(-1, 2)
-    s, e = own[:, 0], own[:, 1]
-    if not len(own):
-        return s, e, np.empty(0, np.uint64), np.empty((0, BANDS), np.uint64)
-    cuts = np.stack([s, e - SHINGLE + 1], axis=1).ravel()
-    padded = np.append(sh, np.uint64(0))  # reduceat wants each cut inside
-    least = np.stack([np.minimum.reduceat(np.append(_mix(padded[:-1] * f), np.uint64(0)), cuts)[::2] for f in _FACTORS], axis=1)
-    bands = np.stack([_fold([np.full(len(s), b, np.uint64), *least[:, b * ROWS : (b + 1) * ROWS].T], 2) for b in range(BANDS)], axis=1)
-    content = np.array([int(np.bitwise_xor.reduce(_mix(sh[a : b - SHINGLE + 1] + _STEP * np.arange(b - a - SHINGLE + 1, dtype=np.uint64)))) for a, b in zip(s, e, strict=True)], np.uint64)
-    return s, e, _fold([content, (e - s).astype(np.uint64)], 3), bands
+def paragraphs(sh: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Content hashes and bands (one row a paragraph) of the word ranges."""
+    if not len(ranges):
+        return np.empty(0, np.uint64), np.empty((0, BANDS), np.uint64)
+    s, n = ranges[:, 0], ranges[:, 1] - ranges[:, 0] - SHINGLE + 1
+    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    within = np.arange(n.sum()) - np.repeat(first, n)
+    own = sh[np.repeat(s, n) + within]
+    least = [np.minimum.reduceat(_mix(own * f), first) for f in _FACTORS]
+    bands = [_fold([np.full(len(s), b, np.uint64), *least[b * ROWS : (b + 1) * ROWS]], 2) for b in range(BANDS)]
+    content = np.bitwise_xor.reduceat(_mix(own + _STEP * within.astype(np.uint64)), first)
+    return _fold([content, n.astype(np.uint64)], 3), np.stack(bands, axis=1)
 
 
-def passages(sh: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and content hashes of the passages of PASSAGE words at the anchors of a text."""
+def passages(sh: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and content hashes of the passages of PASSAGE words at the anchors of texts that end at ends[1:]."""
     if len(sh) < ANCHOR:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     windows = np.lib.stride_tricks.sliding_window_view(sh, ANCHOR)
-    at = np.unique(np.concatenate([windows[k : k + 65_536].argmin(axis=1) + np.arange(k, min(k + 65_536, len(windows))) for k in range(0, len(windows), 65_536)]))
-    at = at[at + PASSAGE <= n_words]
+    end = np.repeat(ends[1:], np.diff(ends))  # of the text of each word
+    at = []
+    for k in range(0, len(windows), 65_536):
+        start = np.arange(k, min(k + 65_536, len(windows)))
+        start = start[start + ANCHOR + SHINGLE - 1 <= end[start]]  # windows within one text
+        at.append(windows[start].argmin(axis=1) + start)
+    found = np.unique(np.concatenate(at))
+    found = found[found + PASSAGE <= end[found]]
     inside = [*range(0, PASSAGE - SHINGLE, SHINGLE), PASSAGE - SHINGLE]
-    return at, _fold([sh[at + k] for k in inside], 4)
+    return found, _fold([sh[found + k] for k in inside], 4)
 
 
 def _signed(x: np.ndarray) -> list[int]:
@@ -106,13 +115,18 @@ def units(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     """Per row: doc_id, n_words, p_start, p_end, p_unit, p_bands (paragraphs) and w_start, w_unit (passages), as arrays."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column(0).to_pylist()
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        words, ends, ranges = word_hashes(texts)
+        sh = shingles(words)
+        bands_of, (at, passage) = paragraphs(sh, ranges), passages(sh, ends)
+        unit, bands = bands_of
+        text_of = np.searchsorted(ends, ranges[:, 0], "right") - 1, np.searchsorted(ends, at, "right") - 1
+        cuts = [np.searchsorted(t, np.arange(len(ids) + 1)) for t in text_of]
         out: list[list] = [[] for _ in range(7)]
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words, ranges = word_hashes(text or "")
-            sh = shingles(words)
-            s, e, unit, bands = paragraphs(words, sh, ranges if doc is not None else [])
-            at, passage = passages(sh if doc is not None else sh[:0], len(words))
-            for column, value in zip(out, (len(words), s.tolist(), e.tolist(), _signed(unit), [_signed(b) for b in bands], at.tolist(), _signed(passage)), strict=True):
+        for k, doc in enumerate(ids):
+            p, w = (slice(c[k], c[k + 1]) if doc is not None else slice(0, 0) for c in cuts)
+            for column, value in zip(out, (ends[k + 1] - ends[k], ranges[p, 0] - ends[k], ranges[p, 1] - ends[k], unit[p].view(np.int64), [b.view(np.int64) for b in bands[p]], at[w] - ends[k], passage[w].view(np.int64)), strict=True):
                 column.append(value)
         ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, (pa.int32(), ints, ints, longs, pa.list_(longs), ints, longs), strict=True))], ["doc_id", "n_words", "p_start", "p_end", "p_unit", "p_bands", "w_start", "w_unit"])
@@ -127,14 +141,15 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         unit, sets = [], []
         for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sh = shingles(word_hashes(text or "")[0])
+            sh = shingles(word_hashes([text or ""])[0])
             for u in own:
                 unit.append(u["unit"])
                 sets.append(_signed(np.unique(sh[u["start"] : u["end"] - SHINGLE + 1])))
         return pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["unit", "shingles"])
 
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "start", "end")).alias("own"))
-    return map_batches(docs.join(by_doc, "doc_id").select("text", "own"), one, "unit long, shingles array<long>").dropDuplicates(["unit"])
+    held = sieved(docs, "doc_id", wanted, "doc_id")
+    return map_batches(held.join(by_doc, "doc_id").select("text", "own"), one, "unit long, shingles array<long>").dropDuplicates(["unit"])
 
 
 def similar(docs: DataFrame, made: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -145,11 +160,13 @@ def similar(docs: DataFrame, made: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     ensure_worker_path(docs.sparkSession)
     each = made.select("doc_id", F.explode(F.arrays_zip("p_unit", "p_start", "p_end", "p_bands")).alias("p")).selectExpr("doc_id", "p.p_unit as unit", "p.p_start as start", "p.p_end as end", "p.p_bands as bands")
-    contents = each.groupBy("unit").agg(F.min(F.struct("doc_id", "start", "end", "bands")).alias("at"))
-    posted = cut(contents.select("unit", "at", F.explode("at.bands").alias("key")).select("key", "unit", "at.doc_id", "at.start", "at.end"))
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    meet = cut(posted.join(shared, "key", "left_semi"))
-    sets = _shingle_sets(docs, meet.select("unit", "doc_id", "start", "end").distinct())
+    posted = each.select("unit", F.explode("bands").alias("key"))
+    shared = cut(posted.groupBy("key").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low <> high").select("key"))
+    meet = cut(sieved(posted, "key", shared, "key").join(shared, "key", "left_semi").distinct())
+    found = meet.select("unit").distinct()
+    at = sieved(each.select("unit", "doc_id", "start", "end"), "unit", found, "unit").join(found, "unit", "left_semi")
+    wanted = cut(at.groupBy("unit").agg(F.min(F.struct("doc_id", "start", "end")).alias("at")).select("unit", "at.*"))
+    sets = spooled(_shingle_sets(docs, wanted))
     dealt = meeting_blocks(meet.select("key", "unit").join(sets, "unit"), "key", "unit", block)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +211,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     by_root = clustered.where("root is not null").groupBy("root").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     alone = clustered.where("root is null and low < high").select("unit", "low")
     keepers = cut(alone.unionByName(clustered.where("root is not null").select("unit", "root").join(by_root, "root").select("unit", "low")))
-    hits = cut(each.join(keepers, "unit").select("doc_id", "low", "start", "end"))
+    hits = cut(sieved(each, "unit", keepers, "unit").join(keepers, "unit").select("doc_id", "low", "start", "end"))
     classes = components(hits.where("doc_id > low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct())
     spans = hits.where("doc_id > low").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("raw"))
     first = "named_struct('start', cast(-1 as int), 'end', cast(-1 as int))"
