@@ -19,7 +19,7 @@ WHITE = "\t-\r \x85\xa0" + chr(0x1680) + f"{chr(0x2000)}-{chr(0x200A)}" + "".joi
 
 
 #: Stretches of text whose ids one worker remembers in each of two generations, so memory is bounded.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 
 
 class Memo(dict):
@@ -41,7 +41,7 @@ class Memo(dict):
 
 
 #: Prefixes whose last tokens one worker remembers; beyond it starts anew.
-PREFIXES = 400_000
+PREFIXES = 800_000
 #: Lengths of tokens to try where no longer token ends in the last four bytes.
 SHORT = (4, 3, 2, 1)
 
