@@ -164,9 +164,12 @@ def detect(low: str) -> list[tuple[int, int, str, float]]:
         if keyword in low:
             found += [(-r.priority, m.start() - m.end(), k, m.start(), m.end(), r) for k, r in own for m in r.pattern.finditer(low)]
     kept: list[tuple[int, int, str, float]] = []
+    by_block: dict[int, list[tuple[int, int]]] = {}  # kept spans by the blocks of 1,024 characters that they touch
     for _, _, _, a, b, r in sorted(found, key=lambda x: x[:4]):
-        if not any(s <= a and b <= e for s, e, *_ in kept):
+        if not any(s <= a and b <= e for s, e in by_block.get(a >> 10, ())):
             kept.append((a, b, r.label, r.weight))
+            for block in range(a >> 10, (b >> 10) + 1):
+                by_block.setdefault(block, []).append((a, b))
     return sorted(kept)
 
 
