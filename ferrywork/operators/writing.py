@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,15 +41,24 @@ def unwritten(df: DataFrame, written: DataFrame, key: str) -> DataFrame:
     return df.join(written.select(key).distinct(), key, "left_anti")
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint, in the folder of spark.checkpoint.dir; in one of our own only where that is unset."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ferrywork-"))
+    return df.checkpoint(eager=True)
+
+
 def numbered_batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """A `batch` number for runs of `size` rows in order.
 
-    Row numbers come from range partitions and the counts of those before, so no task sorts the whole table.
+    Row numbers come from range partitions and the counts of those before, so no task sorts the whole table. The ranges
+    are sampled anew whenever they are planned, so the numbered rows are kept before their counts are taken.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    within = placed.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    within = durable(placed.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order))))
     counts = within.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
     return within.join(before, "_p").withColumn("batch", F.floor((F.col("_i") + F.col("_before") - 1) / size).cast("bigint")).drop("_p", "_i", "_n", "_before")
