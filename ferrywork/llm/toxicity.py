@@ -164,6 +164,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     spark = docs.sparkSession
     ensure_worker_path(spark)
     chosen = choose(labels, key, toxic, sample)
+    docs, key, text = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key", "_text"
     documents, own = _class_counts(docs, chosen, key, text)
     known = documents >= LEAST_DOCUMENTS
     models = spark.sparkContext.broadcast(Models(contexts(docs, text, known), known, own))  # fixed size
