@@ -78,7 +78,7 @@ class Prefixes:
         ranks, known, fits, alone, longest, lengths = codec.ranks.get, codec.known.get, codec.fits, codec.alone, codec.longest, codec.lengths.get
         agreed, first = 0, len(last)
         for e in range(first + 1, to + 1):
-            for n in lengths(data[e - 4 : e] if e > 4 else data[:e], SHORT):
+            for n in lengths(data[e - 4 : e], SHORT) if e > 3 else SHORT:
                 if n > e:
                     continue
                 s = e - n
@@ -118,6 +118,7 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {t: b for b, t in self.ranks.items()}
         self.by_name = {str(t): b for b, t in self.ranks.items()}
+        self.names, self.sizes = {t: str(t) for t in self.tokens}, {t: len(b) for t, b in self.tokens.items()}
         self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s+(?!\S)", f"[{WHITE}]+(?![^{WHITE}])").replace(r"\s+", f"[{WHITE}]+"))
         self.spaces = re.compile(f" (?=[^{WHITE}])")
@@ -200,25 +201,34 @@ class Codec:
         if t is not None and self.alone(t):
             return str(t)
         child, last_of, table, node = self.child, self.last_of, Prefixes(self), 0
-        last = table.last
+        last, step = table.last, self.child.get
         for byte in data:
-            at = child.get(node << 8 | byte)
+            at = step(node << 8 | byte)
             if at is None:
                 break
             node = at
             last.append(last_of[at])
-        have = len(last)
-        table.data = data[:have]
-        table.append(data[have:])
-        if len(data) <= 64:
+        have, e = len(last), len(data)
+        if have < e:
+            table.data = data
+            table._extend(e, None)
+        if have < e <= 64:
             if len(last_of) > PREFIXES:
                 child.clear()
                 del last_of[1:]
             else:
-                for byte, t in zip(data[have:], last[have:], strict=True):
-                    node = child[node << 8 | byte] = len(last_of)
-                    last_of.append(t)
-        return ",".join(map(str, table.ids()))
+                at = len(last_of)
+                for byte in data[have:]:
+                    child[node << 8 | byte] = node = at
+                    at += 1
+                last_of += last[have:]
+        names, sizes, out = self.names, self.sizes, []
+        while e:
+            t = last[e - 1]
+            out.append(names[t])
+            e -= sizes[t]
+        out.reverse()
+        return ",".join(out)
 
     def encode_joined(self, text: str) -> str:
         """Decimal ids, joined by commas.
