@@ -142,6 +142,19 @@ def test_substring_finds_shared_runs(spark):
     assert len(rows) == len(texts) and later <= {r["doc_id"] for r in rows if not r["is_clean"]}
 
 
+def test_bands_reach_the_recall(spark):
+    """Paragraph pairs of Jaccard 0.8 and a little more, each edge looked for by itself."""
+    assert substring.BANDS == 7 and 1 - (1 - 0.8**substring.ROWS) ** substring.BANDS > 0.99
+    rng, docs, pairs = random.Random(17), [], 600
+    for k in range(pairs):
+        a = [f"w{rng.getrandbits(40)}" for _ in range(94)]  # 90 shingles
+        b = a[:84] + [f"w{rng.getrandbits(40)}" for _ in range(10)]  # 80 of them and 10 others
+        docs += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    near = substring.units(spark.createDataFrame(docs, "doc_id long, text string"))
+    found = substring.similar(spark.createDataFrame(docs, "doc_id long, text string"), near)
+    assert found.distinct().count() >= 0.98 * pairs
+
+
 def test_substring_of_odd_rows(docs, no_docs):
     rows = substring.repeated_passages(docs).collect()
     of = {r["doc_id"]: r for r in rows}
