@@ -16,6 +16,8 @@ from ferrywork.llm.common import cut, ensure_worker_path, map_batches
 SAMPLE = 10_000
 #: Words and their stems fall into 2**21 bins, whatever the corpus holds, so every table has a fixed size.
 BITS = 21
+#: Buckets (a power of two) that pairs of words are dealt into to be counted, and pairs that a task holds before it sends them.
+DEALT, HELD = 10, 2_000_000
 #: What is taken off counts of 1, 2, 3 and more: an expression seen once or twice is left to the shared counts.
 DISCOUNTS = (1.0, 1.75, 2.5)
 #: Words (stems) of fewer documents of the sample than this back off to their stem (to nothing).
@@ -36,7 +38,7 @@ def word_bins(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _before(bins: np.ndarray) -> np.ndarray:
-    """The word before each word, as one of 64 classes for corpus counts and as a bin for the classes' own; 0 at first."""
+    """The word before each word, as a bin; 0 at first."""
     return np.concatenate([[0], bins[:-1]]) if len(bins) else bins
 
 
@@ -45,31 +47,63 @@ def part(key: str) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5
 
 
-def contexts(docs: DataFrame, text: str, known: np.ndarray) -> np.ndarray:
-    """For each known bin, how many different words come before it in all documents.
+def contexts(docs: DataFrame, text: str) -> np.ndarray:
+    """For each bin, how many different words (as bins) come before it in all documents, counted exactly.
 
-    A bit for each of 64 hash classes of the word before, joined over the corpus, and the count that so many set bits
-    stand for (linear counting). Each task sends a row for each known bin that it met, so at most 2**BITS.
+    Different pairs go to 2**DEALT buckets by bits of the word before, as sorted 32-bit numbers of the other bits, so a
+    bucket is put together and counted without a row for each pair. Each task then sends a row for each bin it counted.
     """
-    keep = docs.sparkSession.sparkContext.broadcast(known)  # fixed size
+    low = BITS - 1 - DEALT  # bits of the word before (always even) that a pair keeps in its bucket
+
+    def packed(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        found = np.unique(np.concatenate(pairs))
+        bounds = np.searchsorted(found, np.arange((1 << DEALT) + 1) << (BITS + low))
+        own = (found & ((1 << (BITS + low)) - 1)).astype("<u4")
+        filled = np.flatnonzero(np.diff(bounds))
+        return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([own[bounds[k] : bounds[k + 1]].tobytes() for k in filled], pa.binary())], ["bucket", "pairs"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << BITS, np.uint64)
+        held, n = [], 0
+        for batch in batches:
+            for t in batch.column(0):
+                bins, stems = word_bins(t.as_py() or "")
+                before = _before(bins) >> 1
+                bucket = before >> low << (BITS + low) | before & ((1 << low) - 1)
+                held += [bucket | bins << low, bucket | stems << low]
+                n += 2 * len(bins)
+                if n > HELD:
+                    yield packed(held)
+                    held, n = [], 0
+        if n:
+            yield packed(held)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, bucket, held, n = np.zeros(1 << BITS, np.int64), None, [], 0
+
+        def add() -> None:
+            at, own = np.unique(np.unique(np.concatenate(held)) >> low, return_counts=True)
+            counts[at] += own
+
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                bins, stems = word_bins(t or "")
-                bit = np.uint64(1) << ((_before(bins) * 40503 >> 4) & 63).astype(np.uint64)
-                for b in (bins, stems):
-                    own = keep.value[b]
-                    np.bitwise_or.at(seen, b[own], bit[own])
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at].view(np.int64))], ["bin", "seen"])
-
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(gather, "bin long, seen long")
-    found = rows.groupBy("bin").agg(F.bit_or("seen").alias("seen")).toArrow()
-    ones = np.zeros(1 << BITS)
-    ones[found["bin"].to_numpy()] = np.bitwise_count(found["seen"].to_numpy().view(np.uint64))
-    return -64 * np.log1p(-np.minimum(ones, 63.5) / 64)
+            for number, pairs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and number != bucket:
+                    add()
+                    held, n = [], 0
+                bucket = number
+                held.append(np.frombuffer(pairs.as_py(), "<u4"))
+                n += len(held[-1])
+                if n > HELD and n > 2 * len(held[0]):
+                    held = [np.unique(np.concatenate(held))]
+                    n = len(held[0])
+        if held:
+            add()
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["bin", "n"])
+
+    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(gather, "bucket int, pairs binary")
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tally, "bin long, n long")
+    found = dealt.groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    return np.bincount(found["bin"].to_numpy(), weights=found["n"].to_numpy(), minlength=1 << BITS)
 
 
 def discount(count: np.ndarray) -> np.ndarray:
@@ -84,7 +118,7 @@ class Models:
     def __init__(self, shared: np.ndarray, known: np.ndarray, own: list[np.ndarray]):
         logs = [np.zeros(len(known)), np.zeros(len(known))]
         for stream in (0, 1):
-            base = np.where(known[stream::2], shared[stream::2] + 0.5, 0)
+            base = np.where(known[stream::2] | (shared[stream::2] > 0), shared[stream::2] + 0.5, 0)  # words outside the sample too
             base = base / max(base.sum(), 1e-9)
             for c in (0, 1):
                 n = np.where(known[stream::2], own[c][stream::2], 0)
@@ -167,7 +201,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     docs, key, text = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key", "_text"
     documents, own = _class_counts(docs, chosen, key, text)
     known = documents >= LEAST_DOCUMENTS
-    models = spark.sparkContext.broadcast(Models(contexts(docs, text, known), known, own))  # fixed size
+    models = spark.sparkContext.broadcast(Models(contexts(docs, text), known, own))  # fixed size
     names = ["mean", "window", "word"]
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:

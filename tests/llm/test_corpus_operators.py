@@ -214,6 +214,20 @@ def test_op7(spark):
     assert sum(a == b for a, b in held) / len(held) > 0.93 and sum(a and b for a, b in held) / sum(a for a, _ in held) > 0.6
 
 
+def test_contexts_are_counted_exactly(spark):
+    """Words after thousands of others, in several documents, and words that no labelled document holds."""
+    texts = [" ".join(f"w{k} often" for k in range(j * 1000, j * 1000 + 2000)) + " rare" for j in range(3)]
+    before = defaultdict(set)
+    for t in texts:
+        bins, stems = toxicity.word_bins(t)
+        for x, b, s in zip([0, *bins.tolist()], bins.tolist(), stems.tolist()):
+            before[b].add(x)
+            before[s].add(x)
+    found = toxicity.contexts(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
+    assert {k: int(found[k]) for k in np.flatnonzero(found)} == {k: len(v) for k, v in before.items()}
+    assert max(found) > 3900
+
+
 def test_toxicity_of_odd_rows(spark, docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r["score"] for r in toxicity.toxicity(docs, none).collect()] == pytest.approx([1e-6] * 9)
