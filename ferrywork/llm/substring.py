@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ferrywork.llm.common import components, cut, ensure_worker_path, forest, groups, map_batches, meeting_blocks, sieved, spooled
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Words that a paragraph has at least, and that a passage within one has exactly.
-PARAGRAPH, PASSAGE = 25, 26
+#: Words that a paragraph has at least (one shingle), and that a passage within one has exactly.
+PARAGRAPH, PASSAGE = SHINGLE, 26
 #: Shingles from which the anchor of a passage is the smallest. Any run of PASSAGE + ANCHOR - 1 = 45 words that two
 #: texts share holds an anchor of both with PASSAGE words after it, so shared runs of that length are always found.
 ANCHOR = 20
@@ -193,7 +193,7 @@ def similar(docs: DataFrame, made: DataFrame, block: int = BLOCK) -> DataFrame:
 def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: doc_id, class_id, n_words, removed_words, is_clean, spans.
 
-    A paragraph (25 words or more) repeats another if their five-word shingles have a Jaccard similarity of 0.8 or
+    A paragraph (5 words or more) repeats another if their five-word shingles have a Jaccard similarity of 0.8 or
     more; a passage of 26 words repeats an equal one anywhere. In each cluster the document with the smallest doc_id
     keeps its text; `spans` are the word ranges [start, end) that go from this one, merged and in order. class_id is the
     smallest doc_id connected through shared paragraphs or passages (its own for a document that shares none). Repeats

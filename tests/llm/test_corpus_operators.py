@@ -155,6 +155,19 @@ def test_bands_reach_the_recall(spark):
     assert found.distinct().count() >= 0.98 * pairs
 
 
+def test_short_paragraphs_repeat(spark):
+    """Lines of 5 to 24 words, equal and nearly equal, in texts too short for a passage of 26 words."""
+    texts, lines = {}, {n: passage(200 + n, n) for n in range(5, 25)}
+    for n, line in lines.items():
+        texts[n] = f"{passage(300 + n, 4)}\n{line}"
+        texts[100 + n] = f"{line}\n{passage(400 + n, 4)}"
+    near = passage(500, 24)
+    texts |= {200: near, 201: near + " more", 202: passage(501, 12), 203: passage(502, 12)}
+    rows = {r["doc_id"]: r for r in substring.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert all([tuple(x) for x in rows[100 + n]["spans"]] == [(0, n)] and rows[n]["is_clean"] and rows[100 + n]["class_id"] == n for n in lines)
+    assert rows[201]["removed_words"] == 25 and all(rows[i]["is_clean"] for i in (200, 202, 203))
+
+
 def test_substring_of_odd_rows(docs, no_docs):
     rows = substring.repeated_passages(docs).collect()
     of = {r["doc_id"]: r for r in rows}
