@@ -8,8 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ferrywork.llm.common import components, cut, ensure_worker_path, forest, groups, map_batches, meeting_blocks, sieved, spooled
 
@@ -17,8 +18,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Words that a paragraph has at least (one shingle), and that a passage within one has exactly.
 PARAGRAPH, PASSAGE = SHINGLE, 26
 #: Shingles from which the anchor of a passage is the smallest. Any run of PASSAGE + ANCHOR - 1 = 45 words that two
-#: texts share holds an anchor of both with PASSAGE words after it, so shared runs of that length are always found.
+#: texts share holds an anchor of both with PASSAGE words after it, so shared runs of that length are always found. For
+#: the same reason such a run goes on for at most EDGE words before its first passage and after its last one.
 ANCHOR = 20
+EDGE = ANCHOR - 1
 BLOCK = 256
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -190,11 +193,53 @@ def similar(docs: DataFrame, made: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.select("key", "_bx", "_by", "unit", "shingles").repartition("key", "_bx", "_by").sortWithinPartitions("key", "_bx", "_by").mapInArrow(match, "a long, b long")
 
 
+def _words_around(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Per wanted passage (doc_id, start): doc_id, start and the hashes of up to EDGE words before it (nearest first) and
+    after it, read from its document."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], []]
+        for doc, text, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = word_hashes([text or ""])[0].view(np.int64)
+            for at in starts:
+                for column, value in zip(out, (doc, at, words[max(at - EDGE, 0) : at][::-1], words[at + PASSAGE : at + PASSAGE + EDGE]), strict=True):
+                    column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], ["doc_id", "start", "before", "after"])
+
+    by_doc = wanted.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    held = sieved(docs, "doc_id", wanted, "doc_id").join(by_doc, "doc_id").select("doc_id", "text", "starts")
+    return map_batches(held, one, "doc_id long, start int, before array<long>, after array<long>").dropDuplicates(["doc_id", "start"])
+
+
+def extended(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """Spans (doc_id, start, end) of passages that repeat a keeper's, extended to the ends of the equal run.
+
+    `hits` holds (unit, doc_id, low, start) of passages, the keepers' own (doc_id = low) among them. Passages of one run
+    overlap, so only the first and the last of each chain (same keeper, same distance, at most PASSAGE words apart) are
+    compared further, by at most EDGE words a side: any run of 45 words or more ends there.
+    """
+    kept = hits.where("doc_id = low").groupBy("unit").agg(F.min("start").alias("kept"))
+    own = hits.where("doc_id > low").join(kept, "unit").select("doc_id", "start", "low", "kept").distinct()
+    lane = Window.partitionBy("doc_id", "low", F.col("kept") - F.col("start")).orderBy("start")
+    inner = (F.col("start") - F.lag("start").over(lane) <= PASSAGE) & (F.lead("start").over(lane) - F.col("start") <= PASSAGE)
+    ends = cut(own.withColumn("_inner", inner).where("not coalesce(_inner, false)").drop("_inner"))
+    around = spooled(_words_around(docs, ends.select("doc_id", "start").union(ends.select("low", "kept")).distinct()))
+    mine, theirs = (around.select(F.col("doc_id").alias(d), F.col("start").alias(s), F.col("before").alias(f"{d}_before"), F.col("after").alias(f"{d}_after")) for d, s in (("doc_id", "start"), ("low", "kept")))
+
+    def same(side: str) -> Column:
+        """Words up to the first that differs or is missing on either side."""
+        equal = F.zip_with(f"doc_id_{side}", f"low_{side}", lambda x, y: F.coalesce(x == y, F.lit(False)))
+        place = F.coalesce(F.array_position(equal, F.lit(False)), F.lit(0))
+        return F.when(place > 0, place - 1).otherwise(F.size(equal)).cast("int")
+
+    return ends.join(theirs, ["low", "kept"]).join(mine, ["doc_id", "start"]).select("doc_id", (F.col("start") - same("before")).alias("start"), (F.col("start") + PASSAGE + same("after")).alias("end"))
+
+
 def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: doc_id, class_id, n_words, removed_words, is_clean, spans.
 
     A paragraph (5 words or more) repeats another if their five-word shingles have a Jaccard similarity of 0.8 or
-    more; a passage of 26 words repeats an equal one anywhere. In each cluster the document with the smallest doc_id
+    more; a passage of 26 words repeats an equal one anywhere and is extended to the ends of the equal run. In each cluster the document with the smallest doc_id
     keeps its text; `spans` are the word ranges [start, end) that go from this one, merged and in order. class_id is the
     smallest doc_id connected through shared paragraphs or passages (its own for a document that shares none). Repeats
     within one document stay. Null texts have no words. Rows without doc_id take no part: class null, nothing removed.
@@ -205,15 +250,16 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     roots = components(similar(docs, made))
     paragraph = F.explode(F.arrays_zip(F.col("p_unit").alias("unit"), F.col("p_start").alias("start"), F.col("p_end").alias("end")))
     passage = F.explode(F.arrays_zip(F.col("w_unit").alias("unit"), F.col("w_start").alias("start"), F.transform("w_start", lambda s: s + PASSAGE).alias("end")))
-    each = made.select("doc_id", paragraph.alias("u")).union(made.select("doc_id", passage.alias("u"))).selectExpr("doc_id", "u.unit", "u.start", "u.end")
+    each = made.select("doc_id", paragraph.alias("u"), F.lit(False).alias("run")).union(made.select("doc_id", passage.alias("u"), F.lit(True))).selectExpr("doc_id", "u.unit", "u.start", "u.end", "run")
     held = each.groupBy("unit").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     clustered = held.join(roots, held["unit"] == roots["node"], "left").select("unit", "low", "high", "root")
     by_root = clustered.where("root is not null").groupBy("root").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     alone = clustered.where("root is null and low < high").select("unit", "low")
     keepers = cut(alone.unionByName(clustered.where("root is not null").select("unit", "root").join(by_root, "root").select("unit", "low")))
-    hits = cut(sieved(each, "unit", keepers, "unit").join(keepers, "unit").select("doc_id", "low", "start", "end"))
+    hits = cut(sieved(each, "unit", keepers, "unit").join(keepers, "unit").select("unit", "doc_id", "low", "start", "end", "run"))
     classes = components(hits.where("doc_id > low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct())
-    spans = hits.where("doc_id > low").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("raw"))
+    found = hits.where("doc_id > low").select("doc_id", "start", "end").unionByName(extended(docs, hits.where("run")))
+    spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("raw"))
     first = "named_struct('start', cast(-1 as int), 'end', cast(-1 as int))"
     merged = F.expr(
         f"""filter(aggregate(raw, array({first}), (acc, x) -> if(x.start <= acc[0].end,

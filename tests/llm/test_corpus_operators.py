@@ -168,6 +168,21 @@ def test_short_paragraphs_repeat(spark):
     assert rows[201]["removed_words"] == 25 and all(rows[i]["is_clean"] for i in (200, 202, 203))
 
 
+def test_substring_extends_to_the_ends(spark):
+    """Runs inside longer lines go to the word, next to words that differ, at a text's edges and from whole documents."""
+    texts = {0: passage(600, 900)}
+    w = texts[0].split()
+    runs = {k: (37 * k % 700, 45 + 5 * k) for k in range(1, 25)}
+    for k, (at, n) in runs.items():
+        own, before, after = " ".join(w[at : at + n]), passage(700 + k, k % 3 * 9), passage(800 + k, k % 4 * 9)
+        texts[k] = f"{before} {own} {after}".strip()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in substring.repeated_passages(docs).collect()}
+    assert rows[0]["is_clean"]
+    assert {k: [tuple(x) for x in rows[k]["spans"]] for k in runs} == {k: [(k % 3 * 9, k % 3 * 9 + n)] for k, (_, n) in runs.items()}
+    assert {r["doc_id"] for r in substring.remove_passages(docs).collect()} == {0} | {k for k in runs if k % 3 or k % 4}
+
+
 def test_substring_of_odd_rows(docs, no_docs):
     rows = substring.repeated_passages(docs).collect()
     of = {r["doc_id"]: r for r in rows}
