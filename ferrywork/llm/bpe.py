@@ -5,7 +5,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import lru_cache
+from functools import lru_cache, partial
+from sys import getsizeof
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,30 +19,49 @@ from ferrywork.llm.common import map_batches
 WHITE = "\t-\r \x85\xa0" + chr(0x1680) + f"{chr(0x2000)}-{chr(0x200A)}" + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
-#: Stretches of text whose ids one worker remembers in each of two generations, so memory is bounded.
-REMEMBERED = 500_000
+#: Bytes of stretches and their ids that one worker remembers, in two generations together; bytes of a place in a dict.
+REMEMBERED, PLACE = 72_000_000, 64
+#: Marks (one byte each) of what was asked once; beyond half of them they are cleared.
+MARKS = 1 << 21
+
+
+#: ASCII marks that end a run of letters and, one or more, are a match of the pattern; the apostrophe may begin others.
+MARKED = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 
 class Memo(dict):
-    """A dict that computes what it lacks. When full, its entries become the old generation; those used again return."""
+    """A dict that computes what it lacks and remembers what was asked twice, so that rare keys take no room.
+
+    When its half of the bytes is used up, its entries become the old generation; those used again return, so what is
+    frequent stays however much text goes by.
+    """
 
     def __init__(self, compute, limit: int = REMEMBERED, longest: int = 64):
-        self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
+        self.compute, self.half, self.longest, self.old = compute, limit // 2, longest, {}
+        self.room, self.marks, self.marked = self.half, bytearray(MARKS), 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
+            at = hash(key) & MARKS - 1
+            if not self.marks[at]:
+                self.marks[at], self.marked = 1, self.marked + 1
+                if self.marked > MARKS // 2:
+                    self.marks, self.marked = bytearray(MARKS), 0
+                return value
         if len(key) <= self.longest:
-            if len(self) >= self.limit:
-                self.old = dict(self)
+            if self.room < 0:
+                self.old = self.copy()
                 self.clear()
+                self.room = self.half
+            self.room -= getsizeof(key) + getsizeof(value) + PLACE
             self[key] = value
         return value
 
 
-#: Prefixes whose last tokens one worker remembers; beyond it starts anew.
-PREFIXES = 800_000
+#: Prefixes and pairs of tokens that one worker remembers (some 100 bytes each); beyond it starts anew.
+PREFIXES, PAIRS = 250_000, 150_000
 #: Lengths of tokens to try where no longer token ends in the last four bytes.
 SHORT = (4, 3, 2, 1)
 
@@ -122,13 +142,17 @@ class Codec:
         self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s+(?!\S)", f"[{WHITE}]+(?![^{WHITE}])").replace(r"\s+", f"[{WHITE}]+"))
         self.spaces = re.compile(f" (?=[^{WHITE}])")
+        self.white = re.compile(f"[{WHITE}]").search
+        self.lines = re.compile(f"(?<=[^{WHITE}])\n(?=[^{WHITE}])")
         self.known: dict[int, bool] = {}
         self._split: dict[int, tuple[int, int] | None] = {}
         self.lengths = self._lengths()
         self.child: dict[int, int] = {}
         self.last_of = [0]
-        self.pieces = Memo(self._piece)
-        self.after_space = Memo(self._after_space)
+        self.pieces = Memo(self._piece, REMEMBERED // 4)
+        self.after_space = Memo(partial(self._stretch, " "))
+        self.after_line = Memo(partial(self._stretch, ""), REMEMBERED // 4)
+        self.line_end = f",{self._piece(chr(10))},"
 
     def _lengths(self) -> dict[bytes, tuple[int, ...]]:
         """Lengths, longest first, of the tokens that end in given four bytes, besides the short ones."""
@@ -138,13 +162,15 @@ class Codec:
                 found.setdefault(token[-4:], set()).add(len(token))
         return {end: (*sorted(lengths, reverse=True), *SHORT) for end, lengths in found.items()}
 
-    def _after_space(self, word: str) -> str:
-        """Ids of a stretch that follows a space. Letters alone are one match of the pattern, with the space."""
-        if word.isalpha():
-            return self._piece(" " + word)
-        if word[-1:] in (".", ",") and word[:-1].isalpha():
-            return f"{self.after_space[word[:-1]]},{self.pieces[word[-1]]}"
-        return ",".join(map(self.pieces.__getitem__, self.pattern.findall(" " + word)))
+    def _stretch(self, space: str, stretch: str) -> str:
+        """Ids of a stretch without white space that follows `space`. Letters alone are one match of the pattern, with
+        the space; marks after them are one more."""
+        if stretch.isalpha():
+            return self._piece(space + stretch)
+        letters = stretch.rstrip(MARKED)
+        if len(letters) < len(stretch) and letters.isalpha():
+            return f"{(self.after_space if space else self.after_line)[letters]},{self.pieces[stretch[len(letters) :]]}"
+        return ",".join(map(self.pieces.__getitem__, self.pattern.findall(space + stretch)))
 
     def merged(self, data: bytes) -> list[bytes]:
         """Plain merging, lowest rank first, leftmost among equals; stops before the last merge that leaves one part."""
@@ -175,7 +201,7 @@ class Codec:
         """
         if (known := self.known.get(a << 32 | b)) is not None:
             return known
-        if len(self.known) > 1_000_000:
+        if len(self.known) > PAIRS:
             self.known.clear()
         x, y, ok = a, b, self.alone(a) and self.alone(b)
         until = 1 << 60  # the rank at which x or y is used up by a merge inside its own side; across must come before it
@@ -199,30 +225,29 @@ class Codec:
         data = piece.encode()
         t = self.ranks.get(data)
         if t is not None and self.alone(t):
-            return str(t)
-        child, last_of, table, node = self.child, self.last_of, Prefixes(self), 0
-        last, step = table.last, self.child.get
-        for byte in data:
-            at = step(node << 8 | byte)
-            if at is None:
-                break
-            node = at
-            last.append(last_of[at])
-        have, e = len(last), len(data)
-        if have < e:
-            table.data = data
-            table._extend(e, None)
-        if have < e <= 64:
-            if len(last_of) > PREFIXES:
-                child.clear()
-                del last_of[1:]
-            else:
-                at = len(last_of)
-                for byte in data[have:]:
-                    child[node << 8 | byte] = node = at
-                    at += 1
-                last_of += last[have:]
-        names, sizes, out = self.names, self.sizes, []
+            return self.names[t]
+        child, last_of, node, last = self.child, self.last_of, 0, []
+        add = last.append
+        try:
+            for byte in data:
+                node = child[node << 8 | byte]
+                add(last_of[node])
+        except KeyError:
+            have = len(last)
+            table = Prefixes(self)
+            table.data, table.last = data, last
+            table._extend(len(data), None)
+            if len(data) <= 64:
+                if len(last_of) > PREFIXES:
+                    child.clear()
+                    del last_of[1:]
+                else:
+                    at = len(last_of)
+                    for byte in data[have:]:
+                        child[node << 8 | byte] = node = at
+                        at += 1
+                    last_of += last[have:]
+        names, sizes, out, e = self.names, self.sizes, [], len(data)
         while e:
             t = last[e - 1]
             out.append(names[t])
@@ -233,11 +258,18 @@ class Codec:
     def encode_joined(self, text: str) -> str:
         """Decimal ids, joined by commas.
 
-        A space before a character that is no white space always starts a match of the pattern, so the text is cut
-        there and the ids of frequent stretches are remembered.
+        A space before a character that is no white space always starts a match of the pattern, and a single end of
+        line between two such characters is one, so the text is cut there and the ids of frequent stretches are
+        remembered.
         """
-        first, *rest = self.spaces.split(text)
-        start = [",".join(map(self.pieces.__getitem__, self.pattern.findall(first)))] if first else []
+        return self.line_end.join(map(self._line, self.lines.split(text))) if text else ""
+
+    def _line(self, line: str) -> str:
+        first, *rest = self.spaces.split(line)
+        if first and not self.white(first):
+            start = [self.after_line[first]]
+        else:
+            start = [",".join(map(self.pieces.__getitem__, self.pattern.findall(first)))] if first else []
         return ",".join([*start, *map(self.after_space.__getitem__, rest)])
 
     def encode(self, text: str) -> list[int]:
