@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,27 +62,65 @@ def to_bool(value: Column) -> Column:
 
 CONVERSIONS = {"int": to_int, "float": to_float, "bool": to_bool, "string": lambda v: v.cast("string"), "timestamp": lambda v: timestamp_of(v)}
 
-# How a dialect writes timestamps.
-DIALECTS = {
-    "mysql": "yyyy-MM-dd HH:mm:ss",
-    "mariadb": "yyyy-MM-dd HH:mm:ss",
-    "postgres": "yyyy-MM-dd'T'HH:mm:ss'Z'",
-    "cockroachdb": "yyyy-MM-dd'T'HH:mm:ss'Z'",
-    "sqlite": "yyyy-MM-dd'T'HH:mm:ss'Z'",
-    "mongodb": "yyyy-MM-dd'T'HH:mm:ss'Z'",
-    "mssql": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSS'Z'",
-}
-READ = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd")
+#: A timestamp's text: date, separator, time, fraction, zone.
+_STAMP = r"^(\d{4}-\d{2}-\d{2})(?:([ T])(\d{2}:\d{2}:\d{2})(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})?)?$"
+
+# How dialects write timestamps: as date, space and time, or with T, fraction and zone (digits of it at most).
+PLAIN, FRACTION = ("mysql", "mariadb"), {"mssql": 7}
+
+
+def _stamp(value: Column) -> list[Column]:
+    """date, separator, time, fraction and zone of a text; empty texts where it is no timestamp."""
+    return [F.regexp_extract(value, _STAMP, k) for k in range(1, 6)]
+
+
+def _real(date: Column, time: Column) -> Column:
+    """Whether a date and time (may be empty) exist."""
+    return F.try_to_timestamp(F.concat_ws(" ", date, F.when(time != "", time).otherwise("00:00:00")), F.lit("yyyy-MM-dd HH:mm:ss")).isNotNull()
 
 
 def timestamp_of(value: Column) -> Column:
-    """A timestamp (UTC) from any of the layouts; null if none fits."""
-    return F.coalesce(*(F.try_to_timestamp(value.cast("string"), F.lit(f)) for f in READ))
+    """A timestamp (UTC) from a date, a date and time, or one with T and a zone; null if none fits."""
+    text = value.cast("string")
+    date, sep, time, fraction, zone = _stamp(text)
+    ok = (date != "") & F.when(sep == "T", True).when(sep == " ", zone == "").otherwise(True) & _real(date, time)
+    return F.when(ok, F.try_to_timestamp(F.concat(date, F.lit("T"), F.when(time != "", time).otherwise("00:00:00"), fraction, F.when(zone != "", zone).otherwise("Z"))))
 
 
 def convert_timestamp(value: Column, target: str) -> Column:
-    """A timestamp text as the target dialect writes it; what cannot be read stays."""
-    return F.coalesce(F.date_format(timestamp_of(value), DIALECTS[target]), value)
+    """A timestamp text as the target dialect writes it, by its own clock; what cannot be read stays.
+
+    Read are a date and time without zone, one with T and zone, and a date. Fractions keep their digits without zeros at
+    the end (seven at most for mssql), none in dialects without them; a zone stays, one of no offset is Z.
+    """
+    date, sep, time, fraction, zone = _stamp(value)
+    ok = (date != "") & F.when(sep == "T", zone != "").when(sep == " ", zone == "").otherwise(True) & _real(date, time)
+    clock = F.when(time != "", time).otherwise("00:00:00")
+    if target in PLAIN:
+        out = F.concat(date, F.lit(" "), clock)
+    else:
+        kept = F.regexp_replace(F.substring(fraction, 1, FRACTION.get(target, 9) + 1), r"\.?0*$", "")
+        out = F.concat(date, F.lit("T"), clock, kept, F.when(zone.isin("", "+00:00", "-00:00"), "Z").otherwise(zone))
+    return F.when(ok, out).otherwise(value)
+
+
+def compared_time(value: Column) -> Column:
+    """The second (UTC) of a text that is a date with a time, for comparison. A date alone is none."""
+    text = value.cast("string")
+    date, sep, time, _, zone = _stamp(text)
+    ok = (time != "") & ((sep == "T") | (zone == "")) & _real(date, time)
+    return F.when(ok, F.try_to_timestamp(F.concat(date, F.lit("T"), time, F.when(zone != "", zone).otherwise("Z"))))
+
+
+def same_family(source: str, target: str) -> bool:
+    """Whether timestamps need no conversion between two dialects."""
+    families = ({"mysql", "mariadb"}, {"postgres", "cockroachdb"})
+    return source == target or any({source, target} <= f for f in families)
+
+
+def is_timestamp_type(kind: Column) -> Column:
+    """Types that hold a date with a time."""
+    return F.upper(F.trim(kind)).rlike("^(DATETIME|TIMESTAMP|SMALLDATETIME)")
 
 
 def remaining_ttl(ttl: Column) -> Column:
@@ -88,18 +129,30 @@ def remaining_ttl(ttl: Column) -> Column:
 
 
 def plain_decimal(value: Column) -> Column:
-    """A decimal's text without trailing zeros."""
+    """A decimal's text without trailing zeros; zero has no sign."""
     text = value.cast("string")
-    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    short = F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    return F.when(short.isin("-0", "", "-"), F.lit("0")).otherwise(short)
 
 
-def values_equal(a: Column, b: Column) -> Column:
-    """Both null, equal texts, equal times, equal decimals, or numbers within 1e-9."""
+def values_equal(a: Column, b: Column, kind_a: str = "string", kind_b: str = "string") -> Column:
+    """Both null, or equal as what both can be read as: times (to the second), else exact decimals, else numbers within
+    1e-9, else texts. Columns of one type that is neither text nor floating are compared as they are."""
+    if kind_a == kind_b and not kind_a.startswith(("string", "double", "float", "varchar", "char")):
+        return a.eqNullSafe(b)
     x, y = a.cast("string"), b.cast("string")
-    exact = x.try_cast("decimal(38,18)") == y.try_cast("decimal(38,18)")
-    close = F.abs(x.try_cast("double") - y.try_cast("double")) < 1e-9
-    times = F.date_trunc("second", timestamp_of(x)) == F.date_trunc("second", timestamp_of(y))
-    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise((x == y) | F.coalesce(times, F.lit(False)) | F.coalesce(exact, F.lit(False)) | F.coalesce(close, F.lit(False)))
+    tx, ty = compared_time(x), compared_time(y)
+    dx, dy = x.try_cast("decimal(38,18)"), y.try_cast("decimal(38,18)")
+    fx, fy = x.try_cast("double"), y.try_cast("double")
+    ladder = F.when(x == y, True)
+    if not (_numeric(kind_a) or _numeric(kind_b)):
+        ladder = ladder.when(tx.isNotNull() & ty.isNotNull(), tx == ty)
+    ladder = ladder.when(dx.isNotNull() & dy.isNotNull(), dx == dy).when(fx.isNotNull() & fy.isNotNull(), F.abs(fx - fy) < 1e-9)
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(ladder.otherwise(False))
+
+
+def _numeric(kind: str) -> bool:
+    return kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean"))
 
 
 def row_checksum(columns: list[Column], joiner: str = "|") -> Column:
@@ -112,6 +165,56 @@ def map_checksum(fields: Column) -> Column:
     return F.sha2(F.array_join(F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("<nil>")))), ","), 256)
 
 
+def md5_row(columns: list[str]) -> Column:
+    """MD5 of a row as JSON, nulls included, columns in the order given."""
+    return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+
+
+def row_checksum_of(dialect: str, columns: list[str]) -> Column:
+    """A row's checksum as the dialect's side makes it: MD5 of its JSON, or SHA-256 of its values by name of column."""
+    if dialect in ("postgres", "cockroachdb"):
+        return md5_row(columns)
+    return row_checksum([F.col(c) for c in sorted(columns)], "" if dialect == "sqlite" else "|")
+
+
+def typed_checksum(kind: Column, members: Column) -> Column:
+    """SHA-256 of a type and its members (texts); the order of a set's members does not count, that of others does."""
+    ordered = F.when(kind.isin("set", "zset"), F.array_sort(members)).otherwise(members)
+    return F.sha2(F.concat(kind, F.lit("|"), F.array_join(ordered, ",")), 256)
+
+
+def canonical_json(document: Column) -> Column:
+    """JSON text with the keys of every object in order, at any depth; null where it is no JSON."""
+
+    @F.pandas_udf("string")
+    def ordered(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            try:
+                return None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return ordered(document)
+
+
+def human_bytes(n: Column) -> Column:
+    """A number of bytes in B, KB, MB, GB or TB, by 1024, one digit after the point from KB on."""
+    size = n.cast("double")
+    out = F.when(size < 1024, F.concat(n.cast("bigint").cast("string"), F.lit(" B")))
+    for power, unit in enumerate(("KB", "MB", "GB"), 1):
+        out = out.when(size < 1024.0 ** (power + 1), F.concat(F.format_string("%.1f", size / 1024.0**power), F.lit(f" {unit}")))
+    return out.otherwise(F.concat(F.format_string("%.1f", size / 1024.0**4), F.lit(" TB")))
+
+
+def human_seconds(seconds: Column) -> Column:
+    """A duration as 45s, 3m5s or 2h3m4s."""
+    s = F.floor(seconds).cast("bigint")
+    h, m, r = F.floor(s / 3600), F.floor(s / 60) % 60, s % 60
+    return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, F.format_string("%dm%ds", m, r)).otherwise(F.format_string("%dh%dm%ds", h, m, r))
+
+
 def quoted(name: str, dialect: str) -> str:
     """An identifier as the dialect quotes it."""
     if dialect in ("mysql", "mariadb"):

@@ -3,27 +3,42 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def merge(target: DataFrame, incoming: DataFrame, keys: list[str], strategy: str = "overwrite") -> DataFrame:
-    """The target after writing: rows of either side by key; columns are united, missing ones null.
+def merge(target: DataFrame, incoming: DataFrame, keys: list[str], strategy: str = "overwrite", order: list[Column] | None = None) -> DataFrame:
+    """The target after writing: one row a key; columns are united, missing ones null.
 
-    overwrite: incoming rows replace those of their key; skip: they only fill keys that are missing; error: a key that
-    exists raises when the result is read. One keyed join, whichever side is larger; no row is looked up one by one.
+    overwrite: incoming rows set the columns that they have, a target's other columns stay; skip: they only fill keys
+    that are missing; error: a key that exists raises when the result is read. Of incoming rows that repeat a key the
+    last in `order` counts (without an order, one of them). One keyed join, whichever side is larger; no row is looked up
+    one by one. Null keys equal each other.
     """
-    if strategy == "overwrite":
-        return incoming.unionByName(target.join(incoming.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
-    fresh = incoming.join(target.select(*keys).distinct(), keys, "left_anti")
-    if strategy == "skip":
-        return target.unionByName(fresh, allowMissingColumns=True)
+    if strategy not in ("overwrite", "skip", "error"):
+        raise ValueError(f"unknown strategy {strategy}")
+    last = keep_last(incoming, keys, order or [F.lit(0)])
+    names = [*target.columns, *(c for c in incoming.columns if c not in target.columns)]
+    a = target.select(F.struct(*target.columns).alias("_a"), *(F.col(k).alias(f"_a{i}") for i, k in enumerate(keys)))
+    b = last.select(F.struct(*last.columns).alias("_b"), *(F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)))
+    on = reduce(Column.__and__, (F.col(f"_a{i}").eqNullSafe(F.col(f"_b{i}")) for i in range(len(keys))))
+    old, new = F.col("_a").isNotNull(), F.col("_b").isNotNull()
+
+    def value(name: str) -> Column:
+        mine, theirs = (F.col(f"{side}.{name}") if name in df.columns else None for side, df in (("_a", target), ("_b", last)))
+        if mine is None or theirs is None:
+            return (theirs if mine is None else mine).alias(name) if strategy == "overwrite" or theirs is None else F.when(~old, theirs).alias(name)
+        return (F.when(new, theirs).otherwise(mine) if strategy == "overwrite" else F.when(old, mine).otherwise(theirs)).alias(name)
+
+    both = a.join(b, on, "full_outer")
     if strategy == "error":
-        clash = conflicts(target, incoming, keys).limit(1).withColumn("_raise", F.raise_error(F.lit("a key exists already")))
-        return target.unionByName(fresh, allowMissingColumns=True).unionByName(clash.where("_raise is null").drop("_raise"), allowMissingColumns=True)
-    raise ValueError(f"unknown strategy {strategy}")
+        both = both.where(F.when(old & new, F.raise_error(F.lit("a key exists already"))).otherwise(True))
+    return both.select(*(value(n) for n in names))
 
 
 def conflicts(target: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,10 +46,10 @@ def conflicts(target: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFr
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The last row of each key. An aggregation (max of the ordered struct), so hot keys are combined before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max(F.struct(*(c.alias(f"_o{k}") for k, c in enumerate(order)), F.struct(*rest).alias("_row"))).alias("_best"))
-    return best.select(*keys, "_best._row.*").select(*df.columns)
+    """The last row of each key. An aggregation (the row with the largest order), so hot keys are combined before the
+    shuffle; columns of any type may stand beside the order."""
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(*(c.alias(f"_o{k}") for k, c in enumerate(order)))).alias("_best"))
+    return best.select("_best.*").select(*df.columns)
 
 
 def unwritten(df: DataFrame, written: DataFrame, key: str) -> DataFrame:
@@ -42,10 +57,14 @@ def unwritten(df: DataFrame, written: DataFrame, key: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the folder of spark.checkpoint.dir; in one of our own only where that is unset."""
+    """A reliable checkpoint, in the folder of spark.checkpoint.dir. A folder of our own where that is unset, in local
+    mode only: on a cluster it would be the driver's own disk."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ferrywork-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ferrywork-"))
     return df.checkpoint(eager=True)
 
 
@@ -76,13 +95,34 @@ def byte_batches(sizes: list[int], budget: int) -> list[int]:
 
 
 def split_by_bytes(df: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
-    """byte_batches() within each scan batch `group`, as a fold over its ordered sizes; groups are bounded by their batch."""
-    state = "struct<batch: int, held: bigint, out: array<struct<id: bigint, batch: int>>>"
-    grouped = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("id"), F.col(size).cast("bigint").alias("size")))).alias("u"))
-    new = f"(acc.held > 0 AND acc.held + x.size > {budget})"
-    folded = F.expr(
-        f"""aggregate(u, cast(named_struct('batch', 0, 'held', 0, 'out', array()) as {state}), (acc, x) -> cast(named_struct(
-            'batch', if({new}, acc.batch + 1, acc.batch), 'held', if({new}, x.size, acc.held + x.size),
-            'out', concat(acc.out, array(named_struct('id', x.id, 'batch', if({new}, acc.batch + 1, acc.batch))))) as {state}), acc -> acc.out)"""
-    )
-    return grouped.select(group, F.explode(folded).alias("b")).select(group, F.col("b.id").alias(order), F.col("b.batch").alias("batch"))
+    """byte_batches() within each scan batch `group`: rows are dealt by it, sorted and numbered as they stream by, so no
+    list of a group is held. Columns: group, order, batch."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, batch, held = object(), 0, 0
+        for rows in batches:
+            out = []
+            for g, n in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), strict=True):
+                if g != now:
+                    now, batch, held = g, 0, 0
+                if held and held + n > budget:
+                    batch, held = batch + 1, 0
+                out.append(batch)
+                held += n
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.int32())], [group, order, "batch"])
+
+    dealt = df.select(group, order, F.col(size).cast("bigint").alias(size)).repartition(F.col(group)).sortWithinPartitions(group, order)
+    return dealt.mapInArrow(number, f"`{group}` {kinds[group]}, `{order}` {kinds[order]}, batch int")
+
+
+def rows_per_statement(widest: int, columns: int, packet: int = 16 << 20, most: int = 10_000, parameters: int = 0) -> int:
+    """Rows of one INSERT: what fits into a packet if rows are a fifth wider than the widest seen, `most` at most, and
+    within the number of parameters that a server takes (0: any)."""
+    rows = max(1, min(most, packet // max(1, int(widest * 1.2))))
+    return max(1, min(rows, parameters // max(1, columns))) if parameters else rows
+
+
+def widest_row(df: DataFrame, sample: int = 10) -> int:
+    """Characters of the widest of the first rows, as JSON."""
+    return df.limit(sample).agg(F.max(F.length(F.to_json(F.struct(*df.columns))))).first()[0] or 0

@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrywork.functions import types, values
-from ferrywork.operators import mapping, models, verify, writing
+from ferrywork.functions import values
+from ferrywork.operators import accounting, mapping, models, verify, writing
 from ferrywork.operators.mapping import FieldRule
-from ferrywork.plans import planning
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def values_table(spark: SparkSession, columns: str, rows: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
+from ferrywork.plans import ddl, planning
+from ferrywork.plans.registry import QUERIES, SQL, Query, query, table, values_table
+from ferrywork.sources import registry
 
 
 # --- scans ---------------------------------------------------------------------------------------------------------
@@ -60,15 +38,15 @@ def scan_skip_completed(spark, d):
     return verify.counts({t: table(spark, d, t) for t in left}).select(F.col("table").alias("tbl"), "n")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_name LIKE '%1'")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_name SIMILAR TO '.*#0000.*[13579]'")
 def scan_key_pattern(spark, d):
-    return table(spark, d, "customer").where("c_name LIKE '%1'").select("c_custkey", "c_name")
+    return registry.matching(table(spark, d, "customer").select("c_custkey", "c_name"), "c_name", "*#0000*[13579]")
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def read_records_by_key(spark, d):
     keys = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, d, "orders").join(keys, "o_custkey", "left_semi").select("o_orderkey", "o_custkey", "o_totalprice")
+    return registry.by_keys(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), keys, ["o_custkey"]).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -79,9 +57,9 @@ def enumerate_tables(spark, d):
     return verify.counts({t: table(spark, d, t) for t in TABLES}).select(F.col("table").alias("tbl"), "n")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 50")
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 200")
 def page_scan(spark, d):
-    return table(spark, d, "orders").orderBy("o_orderkey").offset(50).limit(100).select("o_orderkey", "o_totalprice")
+    return registry.page(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 100, 2)
 
 
 # --- conflict strategies -------------------------------------------------------------------------------------------
@@ -148,11 +126,11 @@ def dedup_written(spark, d):
     return writing.unwritten(table(spark, d, "orders").select("o_orderkey"), written, "o_orderkey")
 
 
-@query("SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING count(*) = 1)")
+@query("SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING count(*) % 3 = 0)")
 def failed_subset(spark, d):
-    events = table(spark, d, "events")
-    once = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
-    return events.join(once, "user_id", "left_semi").select("event_id", "user_id")
+    events = table(spark, d, "events").select("event_id", "user_id")
+    failed = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n % 3 = 0").select("user_id")
+    return accounting.units_by_keys(events, failed, "user_id").select("event_id", "user_id")
 
 
 @query("SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS BIGINT) AS batch FROM orders")
@@ -160,7 +138,10 @@ def assign_batches(spark, d):
     return writing.numbered_batches(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 1000)
 
 
-@query()
+@query("""WITH RECURSIVE u AS (SELECT o_orderkey, CAST(o_orderkey // 1000 AS BIGINT) AS scan, 10 + o_orderkey % 97 AS size, row_number() OVER (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey) AS i FROM orders),
+r AS (SELECT o_orderkey, scan, i, size AS held, 0 AS batch FROM u WHERE i = 1
+UNION ALL SELECT u.o_orderkey, u.scan, u.i, CASE WHEN r.held > 0 AND r.held + u.size > 2000 THEN u.size ELSE r.held + u.size END, CASE WHEN r.held > 0 AND r.held + u.size > 2000 THEN r.batch + 1 ELSE r.batch END FROM r JOIN u ON u.scan = r.scan AND u.i = r.i + 1)
+SELECT scan, o_orderkey, batch FROM r""")
 def split_batches(spark, d):
     rows = table(spark, d, "orders").selectExpr("o_orderkey", "o_orderkey div 1000 AS scan", "10 + o_orderkey % 97 AS size")
     return writing.split_by_bytes(rows, "scan", "o_orderkey", "size", 2000)
@@ -171,15 +152,17 @@ def recent_keys(spark, d):
     return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(1000).select("event_id", "ts")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey > 5000")
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 4 <> 1")
 def resume_remaining_rows(spark, d):
-    return table(spark, d, "orders").where("o_orderkey > 5000").select("o_orderkey")
+    """A run that broke off after a quarter of a table: the table is scanned again, written keys are left out."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return writing.unwritten(orders, orders.where("o_orderkey % 4 = 1"), "o_orderkey")
 
 
-@query()
+@query("SELECT row_number() OVER (ORDER BY tbl) - 1 AS position, tbl FROM (VALUES ('customer'), ('events'), ('lineitem'), ('nation'), ('orders'), ('part'), ('supplier')) t(tbl)")
 def resume_plan(spark, d):
     manifest = planning.Manifest({}, completed=["region"])
-    return spark.createDataFrame([(k, t) for k, t in enumerate(manifest.remaining(list(TABLES)))], "position int, tbl string")
+    return spark.createDataFrame([(k, t) for k, t in enumerate(manifest.remaining(list(TABLES)))], "position bigint, tbl string")
 
 
 # --- mappings ------------------------------------------------------------------------------------------------------
@@ -265,7 +248,9 @@ def schema_field_add(spark, d):
 
 @query("SELECT r_regionkey, r_name FROM region")
 def schema_field_remove(spark, d):
-    return schema_field_add(spark, d).drop("schema")
+    from ferrywork.operators import transformers
+
+    return transformers.schema_stage("mysql")(table(spark, d, "region").select("r_regionkey", "r_name", F.lit("sales").alias("schema")))
 
 
 # --- verification --------------------------------------------------------------------------------------------------
@@ -313,7 +298,7 @@ def extra_keys(spark, d):
 @query(_COPY + "SELECT o_orderkey FROM dst WHERE o_orderkey IN (SELECT o_orderkey FROM src)")
 def verify_exists(spark, d):
     source, target = _copy(spark, d)
-    return target.join(source.select("o_orderkey"), "o_orderkey", "left_semi").select("o_orderkey")
+    return registry.by_keys(target.select("o_orderkey"), source, ["o_orderkey"])
 
 
 _COUNTS = _COPY + ", c AS (SELECT 'orders' AS tbl, (SELECT count(*) FROM src) AS source_n, (SELECT count(*) FROM dst) AS target_n UNION ALL SELECT 'region', count(*), count(*) FROM region) "
@@ -348,17 +333,31 @@ def sample_size(spark, d):
 # --- accounting ----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT event_type AS tbl, count(*) AS scanned, sum(length(props)) AS bytes, count(*) FILTER (value < 0) AS failed FROM events GROUP BY 1")
+def _units(spark, d):
+    """Events as units: failed below 5, skipped for every seventh user, in batches of 100."""
+    status = F.when(F.col("value") < 5, "failed").when(F.col("user_id") % 7 == 0, "skipped").otherwise("written")
+    return table(spark, d, "events").select(F.col("event_type").alias("table"), F.col("event_id").alias("key"), F.length("props").cast("bigint").alias("size"), status.alias("status"), F.floor(F.col("event_id") / 100).alias("batch"), F.col("event_id").alias("position"))
+
+
+_UNITS = "WITH u AS (SELECT event_type AS tbl, event_id, length(props) AS size, CASE WHEN value < 5 THEN 'failed' WHEN user_id % 7 = 0 THEN 'skipped' ELSE 'written' END AS status, event_id // 100 AS batch FROM events) "
+
+
+@query(_UNITS + "SELECT tbl, count(*) AS scanned, count(*) FILTER (status = 'written') AS written, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, CAST(coalesce(sum(size) FILTER (status = 'written'), 0) AS BIGINT) AS bytes, count(DISTINCT batch) AS batches FROM u GROUP BY 1")
 def table_metrics(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("tbl")).agg(F.count(F.lit(1)).alias("scanned"), F.sum(F.length("props")).alias("bytes"), F.count_if(F.col("value") < 0).alias("failed"))
+    return accounting.table_metrics(_units(spark, d)).withColumnRenamed("table", "tbl")
 
 
-@query("SELECT event_type AS tbl, CAST(floor(count(*) * 7777 / (SELECT count(*) FROM events)) AS BIGINT) AS written FROM events GROUP BY 1")
+@query("""WITH t AS (SELECT event_type AS tbl, count(*) AS scanned, sum(count(*)) OVER () AS total FROM events GROUP BY 1)
+SELECT tbl, scanned, CAST(floor(77 * (scanned / total)) AS BIGINT) AS failed, CAST(floor(33 * (scanned / total)) AS BIGINT) AS skipped, CAST(floor(5555 * (scanned / total)) AS BIGINT) AS bytes, CAST(scanned - floor(77 * (scanned / total)) - floor(33 * (scanned / total)) AS BIGINT) AS written FROM t""")
 def metrics_proportional(spark, d):
-    events = table(spark, d, "events")
-    total = events.agg(F.count(F.lit(1)).alias("total"))
-    by = events.groupBy(F.col("event_type").alias("tbl")).agg(F.count(F.lit(1)).alias("n"))
-    return by.join(F.broadcast(total)).select("tbl", F.floor(F.col("n") * 7777 / F.col("total")).cast("bigint").alias("written"))  # one row of totals
+    by = table(spark, d, "events").groupBy(F.col("event_type").alias("tbl")).agg(F.count(F.lit(1)).alias("scanned"))
+    return accounting.proportional(by, F.lit(77), F.lit(33), F.lit(5555))
+
+
+@query(_UNITS + "SELECT event_id AS key, CASE WHEN event_id % 5 = 0 THEN 'failed' WHEN event_id % 3 = 0 THEN 'skipped' ELSE 'written' END AS status FROM u")
+def write_outcomes(spark, d):
+    units = _units(spark, d).select("key")
+    return accounting.outcomes(units, units.where("key % 5 = 0"), units.where("key % 3 = 0"))
 
 
 @query(f"SELECT tbl, n, CAST(ceil(n / 1000.0) AS BIGINT) AS batches FROM ({SQL['enumerate_tables']})")
@@ -366,14 +365,16 @@ def plan_estimates(spark, d):
     return planning.estimates(enumerate_tables(spark, d).withColumnRenamed("tbl", "table")).withColumnRenamed("table", "tbl")
 
 
-@query("SELECT event_type AS category, count(*) AS n, min(event_id) AS example FROM events WHERE value < 10 GROUP BY 1")
+@query("SELECT event_type AS category, count(*) AS n, concat('row ', min(event_id)) AS example FROM events WHERE value < 10 GROUP BY 1")
 def failure_summary(spark, d):
-    return table(spark, d, "events").where("value < 10").groupBy(F.col("event_type").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("example"))
+    errors = table(spark, d, "events").where("value < 10").select(F.col("event_type").alias("category"), F.col("event_id").alias("position"), F.concat(F.lit("row "), "event_id").alias("message"))
+    return accounting.failure_summary(errors)
 
 
-@query(f"SELECT tbl, n FROM ({SQL['enumerate_tables']}) ORDER BY n DESC, tbl LIMIT 1")
+@query(f"SELECT tbl FROM ({SQL['enumerate_tables']}) ORDER BY n DESC, tbl LIMIT 1")
 def current_table(spark, d):
-    return enumerate_tables(spark, d).orderBy(F.desc("n"), "tbl").limit(1)
+    counted = enumerate_tables(spark, d).select(F.col("tbl").alias("table"), F.col("n").alias("scanned"))
+    return accounting.busiest_table(counted).withColumnRenamed("table", "tbl")
 
 
 # --- scalars -------------------------------------------------------------------------------------------------------
@@ -395,10 +396,10 @@ def doc_checksum(spark, d):
     return rows.select("n_nationkey", values.map_checksum(models.texts(rows, rows.columns)).alias("checksum"))
 
 
-@query("SELECT c_custkey, sha256(CASE WHEN c_custkey % 2 = 0 THEN concat_ws(',', least(c_name, c_mktsegment), greatest(c_name, c_mktsegment)) ELSE concat_ws(',', c_name, c_mktsegment) END) AS checksum FROM customer")
+@query("SELECT c_custkey, sha256(CASE WHEN c_custkey % 2 = 0 THEN concat('set|', least(c_name, c_mktsegment), ',', greatest(c_name, c_mktsegment)) ELSE concat('list|', c_name, ',', c_mktsegment) END) AS checksum FROM customer")
 def redis_checksum(spark, d):
-    members = F.array("c_name", "c_mktsegment")
-    return table(spark, d, "customer").select("c_custkey", F.sha2(F.array_join(F.when(F.col("c_custkey") % 2 == 0, F.array_sort(members)).otherwise(members), ","), 256).alias("checksum"))
+    kind = F.when(F.col("c_custkey") % 2 == 0, "set").otherwise("list")
+    return table(spark, d, "customer").select("c_custkey", values.typed_checksum(kind, F.array("c_name", "c_mktsegment")).alias("checksum"))
 
 
 @query("SELECT p_partkey, split_part(concat(p_brand, ':', p_type, ':x'), ':', 1) AS collection FROM part")
@@ -422,17 +423,37 @@ def truncate_text(spark, d):
     return table(spark, d, "part").select("p_partkey", values.truncated(F.col("p_name"), 12).alias("short"))
 
 
-_STAMPS = "('2024-01-15 10:30:00'), ('2024-06-20T14:00:00Z'), ('2024-02-29'), ('not-a-datetime'), ('')"
+def _stamps(spark, d):
+    """Order dates as texts in different layouts: plain, with fractions, zones and dates alone; some that are none."""
+    day, clock = F.date_format("o_orderdate", "yyyy-MM-dd"), F.format_string("%02d:%02d:%02d", F.col("o_orderkey") % 24, F.col("o_orderkey") % 60, F.col("o_custkey") % 60)
+    key = F.col("o_orderkey") % 8
+    text = (
+        F.when(key == 0, F.concat(day, F.lit(" "), clock)).when(key == 1, F.concat(day, F.lit("T"), clock, F.lit("Z"))).when(key == 2, F.concat(day, F.lit("T"), clock, F.lit(".120000Z")))
+        .when(key == 3, F.concat(day, F.lit("T"), clock, F.lit(".123456789+02:00"))).when(key == 4, day).when(key == 5, F.concat(day, F.lit(" "), clock, F.lit(".5")))
+        .when(key == 6, F.concat(day, F.lit("T"), clock, F.lit("+00:00"))).otherwise(F.concat(F.lit("on "), day))
+    )
+    return table(spark, d, "orders").select("o_orderkey", text.alias("v"))
+
+
+_STAMPS = """WITH p AS (SELECT o_orderkey, o_orderkey % 8 AS key, strftime(o_orderdate, '%Y-%m-%d') AS day, printf('%02d:%02d:%02d', o_orderkey % 24, o_orderkey % 60, o_custkey % 60) AS clock FROM orders) """
+
+
+def _stamp_sql(plain: bool, fraction9: str) -> str:
+    """What becomes of each layout: the plain form, or T with fraction and zone."""
+    if plain:
+        return _STAMPS + "SELECT o_orderkey, CASE key WHEN 4 THEN concat(day, ' 00:00:00') WHEN 7 THEN concat('on ', day) ELSE concat(day, ' ', clock) END AS out FROM p"
+    return _STAMPS + f"SELECT o_orderkey, CASE key WHEN 4 THEN concat(day, 'T00:00:00Z') WHEN 7 THEN concat('on ', day) WHEN 2 THEN concat(day, 'T', clock, '.12Z') WHEN 3 THEN concat(day, 'T', clock, '{fraction9}+02:00') WHEN 5 THEN concat(day, 'T', clock, '.5Z') ELSE concat(day, 'T', clock, 'Z') END AS out FROM p"
 
 
-@query("SELECT * FROM (VALUES ('2024-01-15 10:30:00', '2024-01-15T10:30:00Z'), ('2024-06-20T14:00:00Z', '2024-06-20T14:00:00Z'), ('2024-02-29', '2024-02-29T00:00:00Z'), ('not-a-datetime', 'not-a-datetime'), ('', '')) t(v, out)")
-def ts_mysql_to_pg(spark, d):
-    return values_table(spark, "v", _STAMPS).select("v", values.convert_timestamp(F.col("v"), "postgres").alias("out"))
+def _ts(name: str, target: str, sql: str) -> None:
+    QUERIES[name] = lambda spark, d: _stamps(spark, d).select("o_orderkey", values.convert_timestamp(F.col("v"), target).alias("out"))
+    SQL[name] = sql
 
 
-@query("SELECT * FROM (VALUES ('2024-01-15 10:30:00', '2024-01-15 10:30:00'), ('2024-06-20T14:00:00Z', '2024-06-20 14:00:00'), ('2024-02-29', '2024-02-29 00:00:00'), ('not-a-datetime', 'not-a-datetime'), ('', '')) t(v, out)")
-def ts_pg_to_mysql(spark, d):
-    return values_table(spark, "v", _STAMPS).select("v", values.convert_timestamp(F.col("v"), "mysql").alias("out"))
+_ts("ts_mysql_to_pg", "postgres", _stamp_sql(False, ".123456789"))
+_ts("ts_pg_to_mysql", "mysql", _stamp_sql(True, ""))
+_ts("ts_pg_to_mssql", "mssql", _stamp_sql(False, ".1234567"))
+_ts("ts_mysql_to_mongo", "mongodb", _stamp_sql(False, ".123456789"))
 
 
 @query("SELECT c_custkey, concat(c_name, '!') AS v FROM customer")
@@ -460,20 +481,40 @@ def coerce_for_dest(spark, d):
     return table(spark, d, "orders").select("o_orderkey", values.to_int(F.col("o_totalprice")).alias("whole"), values.to_float(F.col("o_orderkey")).alias("number"))
 
 
-@query("SELECT * FROM (VALUES ('999.99', '999.990', true), ('1000', '1000', true), ('1', '2', false), ('2024-01-15 10:30:00', '2024-01-15T10:30:00Z', true), (NULL, NULL, true), ('a', NULL, false)) t(a, b, same)")
+@query("SELECT * FROM (VALUES ('999.99', '999.990', true), ('1000', '1000', true), ('1', '2', false), ('2024-01-15 10:30:00', '2024-01-15T10:30:00Z', true), ('2024-01-15 10:30:00', '2024-01-15T12:30:00.4+02:00', true), ('2024-01-15', '2024-01-15 00:00:00', false), ('NaN', 'NaN', true), ('1e400', '2e400', false), ('0.1', '0.1000000000001', false), (NULL, NULL, true), ('a', NULL, false)) t(a, b, same)")
 def values_equal(spark, d):
-    rows = values_table(spark, "a, b", "('999.99', '999.990'), ('1000', '1000'), ('1', '2'), ('2024-01-15 10:30:00', '2024-01-15T10:30:00Z'), (NULL, NULL), ('a', NULL)")
+    rows = values_table(spark, "a, b", "('999.99', '999.990'), ('1000', '1000'), ('1', '2'), ('2024-01-15 10:30:00', '2024-01-15T10:30:00Z'), ('2024-01-15 10:30:00', '2024-01-15T12:30:00.4+02:00'), ('2024-01-15', '2024-01-15 00:00:00'), ('NaN', 'NaN'), ('1e400', '2e400'), ('0.1', '0.1000000000001'), (NULL, NULL), ('a', NULL)")
     return rows.select("a", "b", values.values_equal(F.col("a"), F.col("b")).alias("same"))
 
 
-@query("SELECT * FROM (VALUES ('10.500', '10.5'), ('10.000', '10'), ('100', '100'), ('0.0', '0')) t(v, out)")
+@query("SELECT * FROM (VALUES ('10.500', '10.5'), ('10.000', '10'), ('100', '100'), ('0.0', '0'), ('-0.00', '0'), ('-2.50', '-2.5')) t(v, out)")
 def decimal_normalize(spark, d):
-    return values_table(spark, "v", "('10.500'), ('10.000'), ('100'), ('0.0')").select("v", values.plain_decimal(F.col("v")).alias("out"))
+    return values_table(spark, "v", "('10.500'), ('10.000'), ('100'), ('0.0'), ('-0.00'), ('-2.50')").select("v", values.plain_decimal(F.col("v")).alias("out"))
 
 
-@query("SELECT * FROM (VALUES ('0', '0'), ('''x''', '''x'''), ('now()', NULL), ('current_timestamp', 'current_timestamp'), ('nextval(''s'')', NULL)) t(v, out)")
-def safe_default(spark, d):
-    return values_table(spark, "v", r"""('0'), ("'x'"), ('now()'), ('current_timestamp'), ("nextval('s')")""").select("v", planning.safe_default(F.col("v")).alias("out"))
+# Default expressions, and what each dialect makes of them.
+_DEFAULTS = ["0", "'x'", "'now()'", "NOW()", "now()", "CURRENT_TIMESTAMP", "nextval('s')", "gen_random_uuid()", "datetime('now')", "my_call()", "unique_rowid()", ""]
+_DEFAULTS_OF = {
+    "postgres": ["0", "'x'", "'now()'", "NOW()", "now()", "CURRENT_TIMESTAMP", "nextval('s')", "gen_random_uuid()", None, None, None, None],
+    "cockroachdb": ["0", "'x'", "'now()'", "CURRENT_TIMESTAMP", "CURRENT_TIMESTAMP", "CURRENT_TIMESTAMP", "nextval('s')", "gen_random_uuid()", None, None, "unique_rowid()", None],
+    "mssql": ["0", "'x'", "'now()'", "CURRENT_TIMESTAMP", "CURRENT_TIMESTAMP", "CURRENT_TIMESTAMP", None, None, "datetime('now')", None, None, None],
+    "sqlite": ["0", "'x'", "('now()')", "CURRENT_TIMESTAMP", "CURRENT_TIMESTAMP", "CURRENT_TIMESTAMP", None, None, "(datetime('now'))", None, None, None],
+    "mysql": ["0", "'x'", "'now()'", "NOW()", "now()", "CURRENT_TIMESTAMP", "nextval('s')", "gen_random_uuid()", None, "my_call()", "unique_rowid()", None],
+}
+
+
+def _safe_default(dialect: str) -> None:
+    literal = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+
+    def run(spark, d):
+        return spark.createDataFrame([(v,) for v in _DEFAULTS], "v string").select("v", ddl.safe_default(F.col("v"), dialect).alias("out"))
+
+    QUERIES[f"safe_default_{dialect}"] = run
+    SQL[f"safe_default_{dialect}"] = f"SELECT * FROM (VALUES {', '.join(f'({literal(a)}, {literal(b)})' for a, b in zip(_DEFAULTS, _DEFAULTS_OF[dialect], strict=True))}) t(v, out)"
+
+
+for _dialect in _DEFAULTS_OF:
+    _safe_default(_dialect)
 
 
 # --- models --------------------------------------------------------------------------------------------------------
@@ -509,13 +550,13 @@ def string_json_or_value(spark, d):
 
 @query("SELECT CAST(event_id AS VARCHAR) AS k, json_extract_string(props, '$.k') AS v FROM events")
 def doc_to_hash(spark, d):
-    fields = F.from_json("props", "map<string,string>")
-    return table(spark, d, "events").select(F.col("event_id").cast("string").alias("k"), fields["k"].alias("v"))
+    documents = table(spark, d, "events").select(F.col("event_id").cast("string").alias("_id"), F.col("props").alias("document"))
+    return models.documents_to_hashes(documents, ["k"]).select(F.col("key").alias("k"), F.try_element_at("value", F.lit("k")).alias("v"))
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS k, concat('{\"value\":\"', event_type, '\"}') AS value FROM events")
 def redis_nonhash_to_row(spark, d):
-    return table(spark, d, "events").select(F.col("event_id").cast("string").alias("k"), F.to_json(F.struct(F.col("event_type").alias("value"))).alias("value"))
+    return models.wrapped(table(spark, d, "events").select(F.col("event_id").cast("string").alias("key"), F.col("event_type").alias("value"))).withColumnRenamed("_key", "k")
 
 
 @query("SELECT concat('user:', user_id, ':', event_id) AS _id, concat('user:', user_id) AS _stream, event_type AS kind FROM events")
@@ -552,7 +593,9 @@ def fk_table_order(spark, d):
 
 # --- plans ---------------------------------------------------------------------------------------------------------
 
-_CAPABILITIES = "(VALUES " + ", ".join(f"('{p}', {str(s).lower()}, {str(x).lower()}, 'cross', true)" for p, (s, x) in planning.CAPABILITIES.items()) + ") t(provider, has_schema, transactions, verification, incremental)"
+# What providers can do, as they were written down apart from the library's table.
+_CAPABILITIES = """(VALUES ('postgres', true, true, 'cross', true), ('mysql', true, true, 'cross', true), ('mariadb', true, true, 'cross', true), ('cockroachdb', true, true, 'cross', true),
+('mssql', true, true, 'cross', true), ('sqlite', true, false, 'cross', true), ('mongodb', true, true, 'cross', true), ('redis', false, false, 'cross', true)) t(provider, has_schema, transactions, verification, incremental)"""
 
 
 @query(f"SELECT * FROM {_CAPABILITIES}")
@@ -560,45 +603,20 @@ def capability_matrix(spark, d):
     return planning.capabilities(spark)
 
 
-@query(f"""SELECT a.provider AS source, b.provider AS target, concat_ws('; ', CASE WHEN NOT a.has_schema AND NOT b.has_schema THEN 'neither side has a schema' WHEN NOT a.has_schema THEN 'source has no schema' WHEN NOT b.has_schema THEN 'target has no schema' END,
-CASE WHEN NOT b.transactions THEN 'target cannot defer constraints' END) AS blockers FROM (SELECT * FROM {_CAPABILITIES}) a JOIN (SELECT * FROM {_CAPABILITIES}) b ON a.provider <> b.provider""")
+@query("""WITH p AS (SELECT * FROM (VALUES ('postgres'), ('mysql'), ('mariadb'), ('cockroachdb'), ('mssql'), ('sqlite'), ('mongodb'), ('redis')) t(n))
+SELECT a.n AS source, b.n AS target, concat_ws('; ', CASE WHEN a.n = 'redis' THEN 'source has no schema' WHEN b.n = 'redis' THEN 'target has no schema' END, CASE WHEN b.n IN ('redis', 'sqlite') THEN 'target cannot defer constraints' END) AS blockers FROM p a JOIN p b ON a.n <> b.n""")
 def preflight_matrix(spark, d):
     return planning.preflight(planning.capabilities(spark))
 
 
-# Source types that the queries map.
-_KINDS = [
-    "TINYINT", "SMALLINT", "INT2", "INTEGER", "INT", "INT8", "BIGINT", "SERIAL", "BIGSERIAL", "REAL", "FLOAT", "FLOAT8", "DOUBLE", "DOUBLE PRECISION",
-    "NUMERIC(10,2)", "DECIMAL", "VARCHAR(100)", "CHARACTER VARYING(20)", "CHAR(3)", "TEXT", "LONGTEXT", "NVARCHAR(MAX)", "STRING", "BLOB", "BYTEA", "VARBINARY(8)",
-    "DATE", "TIME", "DATETIME", "TIMESTAMP", "TIMESTAMPTZ", "TIMESTAMP WITH TIME ZONE", "DATETIMEOFFSET", "BOOLEAN", "BIT", "JSON", "JSONB", "UUID",
-    "UNIQUEIDENTIFIER", "XML", "ENUM('a')", "YEAR", "GEOMETRY", "interval",
-]
-_KIND_ROWS = ", ".join("('" + k.replace("'", "''") + "')" for k in _KINDS)
-
-
-def _type_map(pair: str) -> None:
-    def run(spark, d):
-        return spark.createDataFrame([(k,) for k in _KINDS], "kind string").select("kind", types.mapped_type(F.col("kind"), pair).alias("target"))
-
-    QUERIES[f"type_map_{pair}"] = run
-    SQL[f"type_map_{pair}"] = f"SELECT kind, {types.mapped_type_sql('kind', pair)} AS target FROM (VALUES {_KIND_ROWS}) t(kind)"
-
-
-for _pair in (*types.RULES, *types.SHARED):
-    _type_map(_pair)
-
-
-@query("SELECT * FROM (VALUES ('timestamptz', 'timestamp', true), ('TEXT', 'VARCHAR(20)', true), ('INT', 'BIGINT', false), ('NUMERIC(10,2)', 'FLOAT', true)) t(a, b, lossy)")
-def plan_lossy(spark, d):
-    rows = values_table(spark, "a, b", "('timestamptz', 'timestamp'), ('TEXT', 'VARCHAR(20)'), ('INT', 'BIGINT'), ('NUMERIC(10,2)', 'FLOAT')")
-    return rows.select("a", "b", types.lossy(F.col("a"), F.col("b")).alias("lossy"))
-
-
 @query("SELECT * FROM (VALUES (0, 'c_custkey', 'bigint'), (1, 'c_name', 'string'), (2, 'c_nationkey', 'int'), (3, 'c_acctbal', 'double'), (4, 'c_mktsegment', 'string')) t(position, name, kind)")
 def inspect_columns(spark, d):
     return spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(table(spark, d, "customer").dtypes)], "position int, name string, kind string")
 
 
+from ferrywork.plans import library_queries, type_queries  # noqa: E402, F401  (they register themselves)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
