@@ -14,7 +14,8 @@ from ferrywork.llm.common import map_batches
 #: Base phrases, as words that stand consecutively, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# Label | keyword | name as it is written | address. One line is one license; each gives one rule a form.
+# Label | keyword | name as it is written | address. One line is one license; each gives one rule a form. A
+# space in a pattern is any run of white space; keywords are looked for with single spaces and cc-by for cc by.
 LICENSES = r"""
 agpl-3.0 | affero | (?:gnu )?affero general public license | gnu\.org/licenses/agpl
 gpl-2.0 | general public license | (?:gnu )?general public license,? (?:version|v) ?2 | gnu\.org/licenses/old-licenses/gpl-2
@@ -54,29 +55,29 @@ busl-1.1 | business source | business source license | mariadb\.com/bsl
 zlib | zlib | zlib(?:/libpng)? licen[sc]e | zlib\.net/zlib_license
 libpng | libpng | libpng licen[sc]e | libpng\.org/pub/png/src/libpng-license
 unlicense | unlicense | the unlicense | unlicense\.org
-wtfpl | wtfpl | do what the fuck you want to public license | wtfpl\.net
+wtfpl | what the fuck | do what the fuck you want to public license | wtfpl\.net
 cc0-1.0 | cc0 | cc0(?: 1\.0)?(?: universal)? | creativecommons\.org/publicdomain/zero
 public-domain | public domain | (?:released|placed|dedicated) (?:in)?to the public domain | creativecommons\.org/publicdomain/mark
-cc-by-1.0 | cc | cc[- ]by[- ]1\.0 | creativecommons\.org/licenses/by/1\.0
-cc-by-2.0 | cc | cc[- ]by[- ]2\.0 | creativecommons\.org/licenses/by/2\.0
-cc-by-2.5 | cc | cc[- ]by[- ]2\.5 | creativecommons\.org/licenses/by/2\.5
-cc-by-3.0 | cc | cc[- ]by[- ]3\.0 | creativecommons\.org/licenses/by/3\.0
-cc-by-4.0 | cc | cc[- ]by[- ]4\.0 | creativecommons\.org/licenses/by/4\.0
-cc-by-sa-2.0 | cc | cc[- ]by[- ]sa[- ]2\.0 | creativecommons\.org/licenses/by-sa/2\.0
-cc-by-sa-3.0 | cc | cc[- ]by[- ]sa[- ]3\.0 | creativecommons\.org/licenses/by-sa/3\.0
-cc-by-sa-4.0 | cc | cc[- ]by[- ]sa[- ]4\.0 | creativecommons\.org/licenses/by-sa/4\.0
-cc-by-sa | cc | cc[- ]by[- ]sa | creativecommons\.org/licenses/by-sa
-cc-by-nc-2.0 | cc | cc[- ]by[- ]nc[- ]2\.0 | creativecommons\.org/licenses/by-nc/2\.0
-cc-by-nc-3.0 | cc | cc[- ]by[- ]nc[- ]3\.0 | creativecommons\.org/licenses/by-nc/3\.0
-cc-by-nc-4.0 | cc | cc[- ]by[- ]nc[- ]4\.0 | creativecommons\.org/licenses/by-nc/4\.0
-cc-by-nc | cc | cc[- ]by[- ]nc | creativecommons\.org/licenses/by-nc
-cc-by-nd-4.0 | cc | cc[- ]by[- ]nd[- ]4\.0 | creativecommons\.org/licenses/by-nd/4\.0
-cc-by-nd | cc | cc[- ]by[- ]nd | creativecommons\.org/licenses/by-nd
-cc-by-nc-sa-4.0 | cc | cc[- ]by[- ]nc[- ]sa[- ]4\.0 | creativecommons\.org/licenses/by-nc-sa/4\.0
-cc-by-nc-sa | cc | cc[- ]by[- ]nc[- ]sa | creativecommons\.org/licenses/by-nc-sa
-cc-by-nc-nd-4.0 | cc | cc[- ]by[- ]nc[- ]nd[- ]4\.0 | creativecommons\.org/licenses/by-nc-nd/4\.0
-cc-by-nc-nd | cc | cc[- ]by[- ]nc[- ]nd | creativecommons\.org/licenses/by-nc-nd
-cc-by | cc | cc[- ]by | creativecommons\.org/licenses/by
+cc-by-1.0 | cc-by | cc[- ]by[- ]1\.0 | creativecommons\.org/licenses/by/1\.0
+cc-by-2.0 | cc-by | cc[- ]by[- ]2\.0 | creativecommons\.org/licenses/by/2\.0
+cc-by-2.5 | cc-by | cc[- ]by[- ]2\.5 | creativecommons\.org/licenses/by/2\.5
+cc-by-3.0 | cc-by | cc[- ]by[- ]3\.0 | creativecommons\.org/licenses/by/3\.0
+cc-by-4.0 | cc-by | cc[- ]by[- ]4\.0 | creativecommons\.org/licenses/by/4\.0
+cc-by-sa-2.0 | cc-by | cc[- ]by[- ]sa[- ]2\.0 | creativecommons\.org/licenses/by-sa/2\.0
+cc-by-sa-3.0 | cc-by | cc[- ]by[- ]sa[- ]3\.0 | creativecommons\.org/licenses/by-sa/3\.0
+cc-by-sa-4.0 | cc-by | cc[- ]by[- ]sa[- ]4\.0 | creativecommons\.org/licenses/by-sa/4\.0
+cc-by-sa | cc-by | cc[- ]by[- ]sa | creativecommons\.org/licenses/by-sa
+cc-by-nc-2.0 | cc-by | cc[- ]by[- ]nc[- ]2\.0 | creativecommons\.org/licenses/by-nc/2\.0
+cc-by-nc-3.0 | cc-by | cc[- ]by[- ]nc[- ]3\.0 | creativecommons\.org/licenses/by-nc/3\.0
+cc-by-nc-4.0 | cc-by | cc[- ]by[- ]nc[- ]4\.0 | creativecommons\.org/licenses/by-nc/4\.0
+cc-by-nc | cc-by | cc[- ]by[- ]nc | creativecommons\.org/licenses/by-nc
+cc-by-nd-4.0 | cc-by | cc[- ]by[- ]nd[- ]4\.0 | creativecommons\.org/licenses/by-nd/4\.0
+cc-by-nd | cc-by | cc[- ]by[- ]nd | creativecommons\.org/licenses/by-nd
+cc-by-nc-sa-4.0 | cc-by | cc[- ]by[- ]nc[- ]sa[- ]4\.0 | creativecommons\.org/licenses/by-nc-sa/4\.0
+cc-by-nc-sa | cc-by | cc[- ]by[- ]nc[- ]sa | creativecommons\.org/licenses/by-nc-sa
+cc-by-nc-nd-4.0 | cc-by | cc[- ]by[- ]nc[- ]nd[- ]4\.0 | creativecommons\.org/licenses/by-nc-nd/4\.0
+cc-by-nc-nd | cc-by | cc[- ]by[- ]nc[- ]nd | creativecommons\.org/licenses/by-nc-nd
+cc-by | cc-by | cc[- ]by | creativecommons\.org/licenses/by
 odbl-1.0 | open database | open (?:data commons )?open database license|open database license | opendatacommons\.org/licenses/odbl
 odc-by | open data commons | open data commons attribution license | opendatacommons\.org/licenses/by
 pddl-1.0 | public domain dedication | public domain dedication and license | opendatacommons\.org/licenses/pddl
@@ -130,18 +131,26 @@ def _table(text: str) -> list[list[str]]:
     return [[x.strip() for x in line.split(" | ")] for line in text.strip().splitlines()]
 
 
+def spaced(pattern: str) -> re.Pattern:
+    return re.compile(pattern.replace(" ?", r"\s*").replace("[- ]", r"[-\s]").replace(" ", r"\s+"))
+
+
+#: The line of an SPDX expression (MIT OR Apache-2.0 WITH ..), whose identifiers are looked up one by one.
+_EXPRESSION = re.compile(r"spdx-license-identifier:[^\n]*")
+
+
 @lru_cache(1)
 def rules() -> tuple[Rule, ...]:
     """Four forms of each license, and the notices; the more specific the form, the higher its priority."""
     out = []
     for label, keyword, name, address in _table(LICENSES):
         spdx = re.escape(label)
-        out.append(Rule(label, "spdx-license", re.compile(rf"spdx-license-identifier:\s*{spdx}(?:-only|-or-later)?(?![\w.-])"), 40, 1.0))
-        out.append(Rule(label, keyword, re.compile(rf"(?:licen[sc]ed|released|distributed|available|provided|published) under (?:the |a |terms of the |the terms of the )?(?:{name})(?![\w-])"), 30, 1.0))
+        out.append(Rule(label, "spdx-license", re.compile(rf"(?<![\w.-]){spdx}(?:-only|-or-later)?(?![\w.-])"), 40, 1.0))
+        out.append(Rule(label, keyword, spaced(rf"(?:licen[sc]ed|released|distributed|available|provided|published) under (?:the |a |terms of the |the terms of the )?(?:{name})(?![\w-])"), 30, 1.0))
         host = re.split(r"[/\\]", address)[0]
         out.append(Rule(label, host, re.compile(rf"(?:https?://)?(?:www\.)?{address}(?!\w)"), 20, 0.9))
-        out.append(Rule(label, keyword, re.compile(rf"(?<![\w-])(?:{name})(?![\w-])"), 10, 0.8))
-    out += [Rule(label, keyword, re.compile(text), 25, 0.7 if label in ("all-rights-reserved", "proprietary") else 1.0) for label, keyword, text in _table(NOTICES)]
+        out.append(Rule(label, keyword, spaced(rf"(?<![\w-])(?:{name})(?![\w-])"), 10, 0.8))
+    out += [Rule(label, keyword, spaced(text), 25, 0.7 if label in ("all-rights-reserved", "proprietary") else 1.0) for label, keyword, text in _table(NOTICES)]
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
@@ -160,9 +169,12 @@ def detect(low: str) -> list[tuple[int, int, str, float]]:
     contains it; of equal spans the rule that comes first stays.
     """
     found = []
+    flat = " ".join(low.split()).replace("cc by", "cc-by")
     for keyword, own in by_keyword().items():
-        if keyword in low:
-            found += [(-r.priority, m.start() - m.end(), k, m.start(), m.end(), r) for k, r in own for m in r.pattern.finditer(low)]
+        if keyword not in flat:
+            continue
+        places = [m.span() for m in _EXPRESSION.finditer(low)] if keyword == "spdx-license" else [(0, len(low))]
+        found += [(-r.priority, m.start() - m.end(), k, m.start(), m.end(), r) for k, r in own for a, b in places for m in r.pattern.finditer(low, a, b)]
     kept: list[tuple[int, int, str, float]] = []
     by_block: dict[int, list[tuple[int, int]]] = {}  # kept spans by the blocks of 1,024 characters that they touch
     for _, _, _, a, b, r in sorted(found, key=lambda x: x[:4]):
@@ -185,9 +197,10 @@ def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float,
     line = b" " + b" ".join(words) + b" "
     places, base = [], set()
     for phrase, label in _PHRASES:
-        at = line.find(phrase)
+        at, word, last = line.find(phrase), 0, 0
         while at >= 0:
-            places.append(line.count(b" ", 0, at))
+            word, last = word + line.count(b" ", last, at), at  # spaces before a word are its number
+            places.append(word)
             base.add(label)
             at = line.find(phrase, at + 1)
     spans = detect(data.translate(_LOWER).decode())
