@@ -3,43 +3,67 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrywork.llm.common import cut, ensure_worker_path, map_batches
 
 #: Labelled documents of each class that the models are fitted on, and twice as many that the scale is fitted on: a
-#: sample in the order of a hash. Only this part is bounded; the shared backoff counts cover every document.
+#: sample in the order of a hash. Only this part is bounded; the shared counts cover every document.
 SAMPLE = 10_000
-#: Words and their stems fall into 2**21 bins, whatever the corpus holds, so every table has a fixed size.
-BITS = 21
+#: Bins of the word before, for the shared counts. How many differ is read off the filled bins by linear counting, which
+#: holds for some ten million words before a word.
+BITS = 20
 #: Buckets (a power of two) that pairs of words are dealt into to be counted, and pairs that a task holds before it sends them.
 DEALT, HELD = 10, 2_000_000
 #: What is taken off counts of 1, 2, 3 and more: an expression seen once or twice is left to the shared counts.
 DISCOUNTS = (1.0, 1.75, 2.5)
-#: Words (stems) of fewer documents of the sample than this back off to their stem (to nothing).
-LEAST_DOCUMENTS = 3
 STEM, WINDOW, TELLING = 4, 12, 2
 
 _WORDS = bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or 48 <= i <= 57 or 97 <= i <= 122 else 32 for i in range(256))
 
 
-def word_bins(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The bin of each word (A-Z lower-cased; even bins) and of its first STEM bytes (odd bins)."""
-    import xxhash
+def split(text: str) -> list[bytes]:
+    """Words: runs of ASCII letters (A-Z lower-cased), digits and characters beyond ASCII."""
+    return text.encode().translate(_WORDS).split()
 
-    words, n = text.encode().translate(_WORDS).split(), (1 << BITS) - 2
-    digest = xxhash.xxh32_intdigest
-    bins = np.fromiter(map(digest, words), np.int64, len(words)) & n
-    return bins, np.fromiter((digest(w[:STEM]) for w in words), np.int64, len(words)) & n | 1
 
+class Vocabulary:
+    """The words of the fitted sample and their stems (the first STEM bytes), numbered in order."""
 
-def _before(bins: np.ndarray) -> np.ndarray:
-    """The word before each word, as a bin; 0 at first."""
-    return np.concatenate([[0], bins[:-1]]) if len(bins) else bins
+    def __init__(self, words: list[bytes]):
+        import xxhash
+
+        self.words = {w: k for k, w in enumerate(words)}
+        self.stems = {w: k for k, w in enumerate(sorted({w[:STEM] for w in words}))}
+        self.stem_of = np.array([self.stems[w[:STEM]] for w in words], np.int64)
+        self.bins = np.fromiter((xxhash.xxh32_intdigest(w) & (1 << BITS) - 1 for w in words), np.int64, len(words))
+        self.n, self.items = len(words), len(words) + len(self.stems) + 1
+
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word (-1 if it is not in the sample) and its item: the word itself, else n + its stem, else
+        the last one."""
+        ids = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        items, last = ids.copy(), len(self.stems)
+        for k in np.flatnonzero(ids < 0).tolist():
+            items[k] = self.n + self.stems.get(words[k][:STEM], last)
+        return ids, items
+
+    def before(self, words: list[bytes], ids: np.ndarray) -> np.ndarray:
+        """The bin of the word before each word; 0 at first."""
+        import xxhash
+
+        if not words:
+            return ids
+        bins = self.bins[ids] if self.n else np.zeros(len(ids), np.int64)
+        for k in np.flatnonzero(ids < 0).tolist():
+            bins[k] = xxhash.xxh32_intdigest(words[k]) & (1 << BITS) - 1
+        return np.concatenate([[0], bins[:-1]])
 
 
 def part(key: str) -> Column:
@@ -47,30 +71,33 @@ def part(key: str) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5
 
 
-def contexts(docs: DataFrame, text: str) -> np.ndarray:
-    """For each bin, how many different words (as bins) come before it in all documents, counted exactly.
+def contexts(docs: DataFrame, text: str, vocabulary) -> np.ndarray:
+    """For each item of the (broadcast) vocabulary, how many different words come before it in all documents.
 
-    Different pairs go to 2**DEALT buckets by bits of the word before, as sorted 32-bit numbers of the other bits, so a
-    bucket is put together and counted without a row for each pair. Each task then sends a row for each bin it counted.
+    Different pairs of an item and a bin go to 2**DEALT buckets by bits of the bin, as sorted numbers of the other bits,
+    so a bucket is put together and counted without a row for each pair and no frequent word makes a bucket large. Each
+    task then sends a row for each item it counted.
     """
-    low = BITS - 1 - DEALT  # bits of the word before (always even) that a pair keeps in its bucket
+    low, items = BITS - DEALT, vocabulary.value.items
+    kind = "<u4" if items < 1 << (32 - low) else "<u8"
+    wide = max(items.bit_length(), 1) + low  # bits of a pair within its bucket
 
     def packed(pairs: list[np.ndarray]) -> pa.RecordBatch:
         found = np.unique(np.concatenate(pairs))
-        bounds = np.searchsorted(found, np.arange((1 << DEALT) + 1) << (BITS + low))
-        own = (found & ((1 << (BITS + low)) - 1)).astype("<u4")
+        bounds = np.searchsorted(found, np.arange((1 << DEALT) + 1) << wide)
+        own = (found & ((1 << wide) - 1)).astype(kind)
         filled = np.flatnonzero(np.diff(bounds))
         return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([own[bounds[k] : bounds[k + 1]].tobytes() for k in filled], pa.binary())], ["bucket", "pairs"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, v = [], 0, vocabulary.value
         for batch in batches:
             for t in batch.column(0):
-                bins, stems = word_bins(t.as_py() or "")
-                before = _before(bins) >> 1
-                bucket = before >> low << (BITS + low) | before & ((1 << low) - 1)
-                held += [bucket | bins << low, bucket | stems << low]
-                n += 2 * len(bins)
+                words = split(t.as_py() or "")
+                ids, item = v.read(words)
+                before = v.before(words, ids)
+                held.append(before >> low << wide | item << low | before & ((1 << low) - 1))
+                n += len(words)
                 if n > HELD:
                     yield packed(held)
                     held, n = [], 0
@@ -78,11 +105,11 @@ def contexts(docs: DataFrame, text: str) -> np.ndarray:
             yield packed(held)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, bucket, held, n = np.zeros(1 << BITS, np.int64), None, [], 0
+        counts, bucket, held, n = np.zeros(items, np.int64), None, [], 0
 
         def add() -> None:
             at, own = np.unique(np.unique(np.concatenate(held)) >> low, return_counts=True)
-            counts[at] += own
+            counts[at.astype(np.int64)] += own
 
         for batch in batches:
             for number, pairs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -90,7 +117,7 @@ def contexts(docs: DataFrame, text: str) -> np.ndarray:
                     add()
                     held, n = [], 0
                 bucket = number
-                held.append(np.frombuffer(pairs.as_py(), "<u4"))
+                held.append(np.frombuffer(pairs.as_py(), kind))
                 n += len(held[-1])
                 if n > HELD and n > 2 * len(held[0]):
                     held = [np.unique(np.concatenate(held))]
@@ -98,42 +125,71 @@ def contexts(docs: DataFrame, text: str) -> np.ndarray:
         if held:
             add()
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["bin", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["item", "n"])
 
     rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(gather, "bucket int, pairs binary")
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tally, "bin long, n long")
-    found = dealt.groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    return np.bincount(found["bin"].to_numpy(), weights=found["n"].to_numpy(), minlength=1 << BITS)
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tally, "item long, n long")
+    found = dealt.groupBy("item").agg(F.sum("n").alias("n")).toArrow()
+    filled, bins = np.bincount(found["item"].to_numpy(), weights=found["n"].to_numpy(), minlength=items), 1 << BITS
+    return -bins * np.log1p(-np.minimum(filled, bins - 1) / bins)
 
 
 def discount(count: np.ndarray) -> np.ndarray:
     return np.array([0.0, *DISCOUNTS])[np.minimum(count, 3).astype(np.int64)]
 
 
+class Class:
+    """The interpolated Kneser-Ney model of one class, for the words of the vocabulary.
+
+    p(w | u) takes a discount off the count of u w and gives what that frees to p(w), which rests on how many different
+    words w follows (its continuation count); what the discounts free there goes to p(stem of w), shared out among the
+    words of the stem by the shared counts, and from there to the shared counts of all stems.
+    """
+
+    def __init__(self, v: Vocabulary, shared: np.ndarray, words: np.ndarray, after: np.ndarray, freed: np.ndarray, pair: np.ndarray, count: np.ndarray):
+        """words: continuation counts; after, freed: counts of what follows each word (the text's start last), and the
+        discounts off them; pair (word << 32 | next word, sorted) and count of pairs found twice or more."""
+        by_stem = np.bincount(v.stem_of, weights=shared[: v.n], minlength=len(v.stems)) + shared[v.n : -1]
+        whole = by_stem.sum() + shared[-1]
+        off, total = discount(words), max(words.sum(), 1.0)
+        of_stem = np.bincount(v.stem_of, weights=words, minlength=len(v.stems))
+        off_stem = discount(of_stem)
+        stem = (of_stem - off_stem + max(off_stem.sum(), 1.0) * by_stem / whole) / total
+        rest = max(off.sum(), 1.0) / total
+        #: p(w) of words; of others (by stem, the last for other stems) less their share of the stem, the same in any class
+        self.word = (words - off) / total + rest * stem[v.stem_of] * shared[: v.n] / by_stem[v.stem_of]
+        self.other = rest * np.append(stem, max(off_stem.sum(), 1.0) / total / whole)
+        self.rest = np.append(np.where(after > 0, freed / np.maximum(after, 1), 1.0), 1.0)  # the last: an unknown word before
+        self.after, self.pair, self.more = np.append(np.maximum(after, 1), 1), pair, count - discount(count)
+
+    def logs(self, ids: np.ndarray, items: np.ndarray, u: np.ndarray) -> np.ndarray:
+        n, known = len(self.word), ids >= 0
+        p = np.concatenate([self.word, self.other])[items] * self.rest[u]
+        if len(self.pair):
+            key = u << 32 | np.maximum(ids, 0)
+            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            p = p + np.where((self.pair[at] == key) & known & (u <= n), self.more[at], 0) / self.after[u]
+        return np.log(p)
+
+
 class Models:
-    """Both classes' models of words and of stems. A word's probability rests on how many different words it follows in
-    the class (the continuation count of Kneser and Ney); what the discounts free goes to all in proportion to the
-    shared counts. `odds` holds log p(toxic) - log p(ordinary) of each bin: a word's own, else its stem's, else 0."""
-
-    def __init__(self, shared: np.ndarray, known: np.ndarray, own: list[np.ndarray]):
-        logs = [np.zeros(len(known)), np.zeros(len(known))]
-        for stream in (0, 1):
-            base = np.where(known[stream::2] | (shared[stream::2] > 0), shared[stream::2] + 0.5, 0)  # words outside the sample too
-            base = base / max(base.sum(), 1e-9)
-            for c in (0, 1):
-                n = np.where(known[stream::2], own[c][stream::2], 0)
-                off = discount(n)
-                logs[c][stream::2] = np.log((n - off + max(off.sum(), 1.0) * base) / max(n.sum(), 1.0) + 1e-12)
-        self.odds = np.where(known, logs[1] - logs[0], 0).astype(np.float32)
-        self.known = known
+    """Both classes' models over one vocabulary."""
+
+    def __init__(self, v: Vocabulary, shared: np.ndarray, own: list[tuple]):
+        self.v = v
+        self.classes = [Class(v, shared + 0.5, *x) for x in own]
 
     def log_odds(self, text: str) -> np.ndarray:
-        bins, stems = word_bins(text)
-        return np.where(self.known[bins], self.odds[bins], self.odds[stems]).astype(float)
+        """log p(word | word before, toxic) - log p(word | word before, ordinary) of each word."""
+        ids, items = self.v.read(split(text))
+        u = np.concatenate([[self.v.n], np.where(ids[:-1] < 0, self.v.n + 1, ids[:-1])]) if len(ids) else ids
+        ordinary, toxic = (c.logs(ids, items, u) for c in self.classes)
+        return toxic - ordinary
 
     def features(self, text: str) -> tuple[float, float, float]:
-        """Log-likelihood ratios normalised by length: of the whole text, of the WINDOW words in a row where it is
-        largest, and of the TELLING words where it is largest, so that a long text hides nothing. Zeros without words."""
+        """Log-likelihoods of the toxic model less those of the ordinary one, normalised by length: of the whole text, of
+        the WINDOW words in a row where that is largest, and of the TELLING words where it is largest, so that a long
+        text hides nothing. Zeros without words."""
         x = self.log_odds(text)
         if not len(x):
             return 0.0, 0.0, 0.0
@@ -155,24 +211,47 @@ def fit_scale(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _class_counts(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Documents of the sample that hold each bin, and for each class the different words before each bin."""
+def _sample(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.join(F.broadcast(chosen.where("use = 0")), docs[key].cast("bigint") == F.col("_doc")).select("toxic", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+
+
+def words_of(sample: DataFrame) -> Vocabulary:
+    """The vocabulary of the sample; its size is bounded by the sample's."""
+
+    def words(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sorted({w for t in batch.column(1).to_pylist() for w in split(t)}), pa.binary())], ["word"])
+
+    return Vocabulary(sorted(map(bytes, map_batches(sample, words, "word binary").distinct().toArrow()["word"].to_pylist())))
+
+
+def class_counts(sample: DataFrame, vocabulary) -> list[tuple]:
+    """What Class needs of each class, counted over pairs of a word (the text's start: n) and the next one."""
+    n = vocabulary.value.n
 
     def pairs(batch: pa.RecordBatch) -> pa.Table:
-        made = []
+        made: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
         for toxic, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            bins, stems = word_bins(t or "")
-            before = _before(bins)
-            pair = np.unique(np.concatenate([bins << BITS | before, stems << BITS | before]))
-            first = np.concatenate([[True], pair[1:] >> BITS != pair[:-1] >> BITS]) if len(pair) else np.empty(0, bool)
-            made.append(pa.table([pa.array(np.full(len(pair), toxic, np.int32)), pa.array(pair, pa.int64()), pa.array(first.astype(np.int64))], ["toxic", "pair", "documents"]))
-        return pa.concat_tables(made)
-
-    rows = docs.join(F.broadcast(chosen.where("use = 0")), docs[key].cast("bigint") == F.col("_doc")).select("toxic", F.col(text).cast("string").alias("text"))
-    found = map_batches(rows, pairs, "toxic int, pair long, documents long").groupBy("toxic", "pair").agg(F.sum("documents").alias("documents"))
-    bins = found.groupBy("toxic", F.shiftright("pair", BITS).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("documents").alias("documents")).toArrow()
-    toxic, at, n, documents = (bins[x].to_numpy() for x in ("toxic", "bin", "n", "documents"))
-    return np.bincount(at, weights=documents, minlength=1 << BITS), [np.bincount(at[toxic == c], weights=n[toxic == c], minlength=1 << BITS) for c in (0, 1)]
+            ids = vocabulary.value.read(split(t))[0]
+            made[toxic].append(np.concatenate([[n], ids[:-1]]) << 32 | ids if len(ids) else ids)
+        out = []
+        for toxic, x in enumerate(made):
+            pair, count = np.unique(np.concatenate(x), return_counts=True)
+            out.append(pa.table([pa.array(np.full(len(pair), toxic, np.int32)), pa.array(pair), pa.array(count)], ["toxic", "pair", "count"]))
+        return pa.concat_tables(out)
+
+    counted = cut(map_batches(sample, pairs, "toxic int, pair long, count long").groupBy("toxic", "pair").agg(F.sum("count").alias("count")))
+    first, second = F.shiftright("pair", 32), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
+    off = F.when(F.col("count") == 1, DISCOUNTS[0]).when(F.col("count") == 2, DISCOUNTS[1]).otherwise(DISCOUNTS[2])
+    words = counted.groupBy("toxic", second.alias("at")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    after = counted.groupBy("toxic", first.alias("at")).agg(F.sum("count").alias("n"), F.sum(off).alias("freed")).toArrow()
+    often = counted.where("count > 1").toArrow()
+    out = []
+    for c in (0, 1):
+        w, u, o = (t.filter(pa.compute.equal(t["toxic"], c)) for t in (words, after, often))
+        filled = lambda t, name, size: np.bincount(t["at"].to_numpy(), weights=t[name].to_numpy(), minlength=size)
+        order = np.argsort(o["pair"].to_numpy())
+        out.append((filled(w, "n", n), filled(u, "n", n + 1), filled(u, "freed", n + 1), o["pair"].to_numpy()[order], o["count"].to_numpy()[order]))
+    return out
 
 
 def choose(labels: DataFrame, key: str, toxic: str, sample: int) -> DataFrame:
@@ -199,9 +278,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     ensure_worker_path(spark)
     chosen = choose(labels, key, toxic, sample)
     docs, key, text = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key", "_text"
-    documents, own = _class_counts(docs, chosen, key, text)
-    known = documents >= LEAST_DOCUMENTS
-    models = spark.sparkContext.broadcast(Models(contexts(docs, text), known, own))  # fixed size
+    sample = _sample(docs, chosen, key, text)
+    vocabulary = spark.sparkContext.broadcast(words_of(sample))
+    own, shared = class_counts(sample, vocabulary), contexts(docs, text, vocabulary)
+    models = spark.sparkContext.broadcast(Models(vocabulary.value, shared, own))  # its size is bounded by the sample's
     names = ["mean", "window", "word"]
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
