@@ -15,12 +15,12 @@ from pyspark.sql.window import Window
 from ferrywork.llm.common import components, cut, ensure_worker_path, forest, groups, map_batches, meeting_blocks, sieved, spooled
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Words that a paragraph has at least (one shingle), and that a passage within one has exactly.
-PARAGRAPH, PASSAGE = SHINGLE, 26
-#: Shingles from which the anchor of a passage is the smallest. Any run of PASSAGE + ANCHOR - 1 = 45 words that two
+#: Words of a line that is a paragraph (at least), of a passage (exactly), and of a removed run of passages (at least).
+PARAGRAPH, PASSAGE, RUN = 25, 20, 45
+#: Shingles from which the anchor of a passage is the smallest. Any run of PASSAGE + ANCHOR - 1 = RUN words that two
 #: texts share holds an anchor of both with PASSAGE words after it, so shared runs of that length are always found. For
 #: the same reason such a run goes on for at most EDGE words before its first passage and after its last one.
-ANCHOR = 20
+ANCHOR = 26
 EDGE = ANCHOR - 1
 BLOCK = 256
 
@@ -60,16 +60,19 @@ def _fold(parts: list[np.ndarray], seed: int) -> np.ndarray:
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A hash for each word of all texts (A-Z lower-cased), the words up to the end of each text (one more, from 0), and
-    the paragraphs between newlines as word ranges."""
+    the paragraphs as word ranges: lines of PARAGRAPH words or more; the whole text if it has none (SHINGLE words or more)."""
     import xxhash
 
     words, ends, ranges = [], [0], []
     for text in texts:
+        first, lines = len(words), len(ranges)
         for line in text.encode().translate(_LOWER).split(b"\n"):
             start = len(words)
             words += line.split()
             if len(words) - start >= PARAGRAPH:
                 ranges.append((start, len(words)))
+        if len(ranges) == lines and len(words) - first >= SHINGLE:
+            ranges.append((first, len(words)))
         ends.append(len(words))
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), np.array(ends), np.array(ranges, np.int64).reshape(-1, 2)
 
@@ -94,7 +97,10 @@ def paragraphs(sh: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def passages(sh: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and content hashes of the passages of PASSAGE words at the anchors of texts that end at ends[1:]."""
+    """Starts and content hashes of the passages of PASSAGE words at the anchors of texts that end at ends[1:].
+
+    An anchor is the MinHash of a sliding window of ANCHOR shingles, so texts that share a run choose the same ones in it.
+    """
     if len(sh) < ANCHOR:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     windows = np.lib.stride_tricks.sliding_window_view(sh, ANCHOR)
@@ -106,71 +112,81 @@ def passages(sh: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at.append(windows[start].argmin(axis=1) + start)
     found = np.unique(np.concatenate(at))
     found = found[found + PASSAGE <= end[found]]
-    inside = [*range(0, PASSAGE - SHINGLE, SHINGLE), PASSAGE - SHINGLE]
-    return found, _fold([sh[found + k] for k in inside], 4)
+    return found, _fold([sh[found + k] for k in range(0, PASSAGE, SHINGLE)], 4)
 
 
-def _signed(x: np.ndarray) -> list[int]:
-    return x.view(np.int64).tolist()
+def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """doc_id, text and th, the text's hash: rows of one doc_id with different texts are told apart by it."""
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("th", F.xxhash64("text"))
 
 
-def units(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, n_words, p_start, p_end, p_unit, p_bands (paragraphs) and w_start, w_unit (passages), as arrays."""
+def units(rows: DataFrame) -> DataFrame:
+    """Per row of _rows(): doc_id, th, n_words and arrays over its units, paragraphs first, then passages: unit (content
+    hash), start, end (words), run (whether it is a passage), bands (none of a passage: equal ones are one unit)."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).to_pylist()
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        words, ends, ranges = word_hashes(texts)
+        words, ends, ranges = word_hashes(batch.column(1).to_pylist())
         sh = shingles(words)
-        bands_of, (at, passage) = paragraphs(sh, ranges), passages(sh, ends)
-        unit, bands = bands_of
-        text_of = np.searchsorted(ends, ranges[:, 0], "right") - 1, np.searchsorted(ends, at, "right") - 1
-        cuts = [np.searchsorted(t, np.arange(len(ids) + 1)) for t in text_of]
-        out: list[list] = [[] for _ in range(7)]
+        unit, bands = paragraphs(sh, ranges)
+        at, passage = passages(sh, ends)
+        cuts = [np.searchsorted(np.searchsorted(ends, x, "right") - 1, np.arange(len(ids) + 1)) for x in (ranges[:, 0], at)]
+        out: list[list] = [[] for _ in range(6)]
+        none = np.empty(0, np.int64)
         for k, doc in enumerate(ids):
             p, w = (slice(c[k], c[k + 1]) if doc is not None else slice(0, 0) for c in cuts)
-            for column, value in zip(out, (ends[k + 1] - ends[k], ranges[p, 0] - ends[k], ranges[p, 1] - ends[k], unit[p].view(np.int64), [b.view(np.int64) for b in bands[p]], at[w] - ends[k], passage[w].view(np.int64)), strict=True):
+            start, end = np.concatenate([ranges[p, 0], at[w]]) - ends[k], np.concatenate([ranges[p, 1], at[w] + PASSAGE]) - ends[k]
+            run = np.repeat([False, True], [len(unit[p]), len(at[w])])
+            for column, value in zip(out, (ends[k + 1] - ends[k], np.concatenate([unit[p], passage[w]]).view(np.int64), start, end, run, [*bands[p].view(np.int64), *[none] * len(at[w])]), strict=True):
                 column.append(value)
         ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, (pa.int32(), ints, ints, longs, pa.list_(longs), ints, longs), strict=True))], ["doc_id", "n_words", "p_start", "p_end", "p_unit", "p_bands", "w_start", "w_unit"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(out, (pa.int32(), longs, ints, ints, pa.list_(pa.bool_()), pa.list_(longs)), strict=True))], ["doc_id", "th", "n_words", "unit", "start", "end", "run", "bands"])
+
+    return map_batches(rows.select("doc_id", "text", "th"), one, "doc_id long, th long, n_words int, unit array<long>, start array<int>, end array<int>, run array<boolean>, bands array<array<long>>")
+
 
-    rows = docs.selectExpr(f"cast(`{key}` as bigint) as doc_id", f"cast(`{text}` as string) as text")
-    return map_batches(rows, one, "doc_id long, n_words int, p_start array<int>, p_end array<int>, p_unit array<long>, p_bands array<array<long>>, w_start array<int>, w_unit array<long>")
+def _each(made: DataFrame, *names: str) -> DataFrame:
+    """A row for each unit of each row: doc_id, th and the named fields."""
+    return made.select("doc_id", "th", F.explode(F.arrays_zip(*names)).alias("u")).select("doc_id", "th", *(f"u.{n}" for n in names))
 
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Per wanted unit (unit, doc_id, start, end): unit and its sorted different shingles, read from its document."""
+def _read_again(rows: DataFrame, wanted: DataFrame, fields: list[str]) -> DataFrame:
+    """text and `own` (the wanted fields, a list of structs) of each row that is wanted by doc_id and th."""
+    by_row = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*fields)).alias("own"))
+    return sieved(rows.where("doc_id is not null"), "th", wanted, "th").join(by_row, ["doc_id", "th"])
+
+
+def _shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Per wanted unit (unit, doc_id, th, start, end): unit and its different shingles (32 bits of each hash), read from
+    its document. Sets are compared within a pair, where shingles that differ look equal once in 2**32."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         unit, sets = [], []
         for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sh = shingles(word_hashes([text or ""])[0])
+            sh = shingles(word_hashes([text])[0])
             for u in own:
                 unit.append(u["unit"])
-                sets.append(_signed(np.unique(sh[u["start"] : u["end"] - SHINGLE + 1])))
-        return pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["unit", "shingles"])
+                sets.append(np.unique((sh[u["start"] : u["end"] - SHINGLE + 1] >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["unit", "shingles"])
 
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "start", "end")).alias("own"))
-    held = sieved(docs, "doc_id", wanted, "doc_id")
-    return map_batches(held.join(by_doc, "doc_id").select("text", "own"), one, "unit long, shingles array<long>").dropDuplicates(["unit"])
+    return map_batches(_read_again(rows, wanted, ["unit", "start", "end"]).select("text", "own"), one, "unit long, shingles array<int>").dropDuplicates(["unit"])
 
 
-def similar(docs: DataFrame, made: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) of paragraph contents with a Jaccard similarity of SIMILARITY or more on word shingles.
+def similar(rows: DataFrame, made: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) of unit contents with a Jaccard similarity of SIMILARITY or more on word shingles.
 
     Contents that share a band meet in one group (hot bands in blocks) and are verified on their whole shingle sets;
-    each group gives a spanning forest.
+    each group gives a spanning forest. Equal contents are one unit.
     """
-    ensure_worker_path(docs.sparkSession)
-    each = made.select("doc_id", F.explode(F.arrays_zip("p_unit", "p_start", "p_end", "p_bands")).alias("p")).selectExpr("doc_id", "p.p_unit as unit", "p.p_start as start", "p.p_end as end", "p.p_bands as bands")
-    posted = each.select("unit", F.explode("bands").alias("key"))
+    ensure_worker_path(rows.sparkSession)
+    posted = _each(made, "unit", "bands").select("unit", F.explode("bands").alias("key"))
     shared = cut(posted.groupBy("key").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low <> high").select("key"))
-    meet = cut(sieved(posted, "key", shared, "key").join(shared, "key", "left_semi").distinct())
+    meet = cut(sieved(posted, "key", shared, "key").distinct().join(shared, "key", "left_semi"))  # a unit once, however often it stands
     found = meet.select("unit").distinct()
-    at = sieved(each.select("unit", "doc_id", "start", "end"), "unit", found, "unit").join(found, "unit", "left_semi")
-    wanted = cut(at.groupBy("unit").agg(F.min(F.struct("doc_id", "start", "end")).alias("at")).select("unit", "at.*"))
-    sets = spooled(_shingle_sets(docs, wanted))
-    dealt = meeting_blocks(meet.select("key", "unit").join(sets, "unit"), "key", "unit", block)
+    at = sieved(_each(made, "unit", "start", "end"), "unit", found, "unit").groupBy("unit").agg(F.min(F.struct("doc_id", "th", "start", "end")).alias("at"))
+    wanted = cut(at.join(found, "unit", "left_semi").select("unit", "at.*"))  # one row a unit before anything is joined
+    dealt = meeting_blocks(meet, "key", "unit", block).join(_shingle_sets(rows, wanted), "unit")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
@@ -193,83 +209,115 @@ def similar(docs: DataFrame, made: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.select("key", "_bx", "_by", "unit", "shingles").repartition("key", "_bx", "_by").sortWithinPartitions("key", "_bx", "_by").mapInArrow(match, "a long, b long")
 
 
-def _words_around(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Per wanted passage (doc_id, start): doc_id, start and the hashes of up to EDGE words before it (nearest first) and
-    after it, read from its document."""
+def _words_around(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Per wanted run (doc_id, th, start, end): the hashes of up to EDGE words before it (nearest first) and after it."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[], [], [], []]
-        for doc, text, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = word_hashes([text or ""])[0].view(np.int64)
-            for at in starts:
-                for column, value in zip(out, (doc, at, words[max(at - EDGE, 0) : at][::-1], words[at + PASSAGE : at + PASSAGE + EDGE]), strict=True):
+        out: list[list] = [[] for _ in range(6)]
+        for doc, th, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = word_hashes([text])[0].view(np.int64)
+            for at in own:
+                s, e = at["start"], at["end"]
+                for column, value in zip(out, (doc, th, s, e, words[max(s - EDGE, 0) : s][::-1], words[e : e + EDGE]), strict=True):
                     column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], ["doc_id", "start", "before", "after"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 2)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "th", "start", "end", "before", "after"])
 
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    held = sieved(docs, "doc_id", wanted, "doc_id").join(by_doc, "doc_id").select("doc_id", "text", "starts")
-    return map_batches(held, one, "doc_id long, start int, before array<long>, after array<long>").dropDuplicates(["doc_id", "start"])
+    held = _read_again(rows, wanted, ["start", "end"]).select("doc_id", "th", "text", "own")
+    return map_batches(held, one, "doc_id long, th long, start int, end int, before array<long>, after array<long>")
 
 
-def extended(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Spans (doc_id, start, end) of passages that repeat a keeper's, extended to the ends of the equal run.
+def extended(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """`hits` are passages (doc_id, th, start, end) with their keeper (low) and its place (at: th, start, end). Spans (doc_id, th, start, end) of runs of passages that repeat a keeper's, extended to the ends of the equal run.
 
-    `hits` holds (unit, doc_id, low, start) of passages, the keepers' own (doc_id = low) among them. Passages of one run
-    overlap, so only the first and the last of each chain (same keeper, same distance, at most PASSAGE words apart) are
-    compared further, by at most EDGE words a side: any run of 45 words or more ends there.
+    Passages of one run overlap or touch; those with the same keeper at the same distance are put together, and what is
+    before the first and after the last is compared with the keeper's text word by word, for at most EDGE words a side:
+    an equal run of RUN words or more ends there.
     """
-    kept = hits.where("doc_id = low").groupBy("unit").agg(F.min("start").alias("kept"))
-    own = hits.where("doc_id > low").join(kept, "unit").select("doc_id", "start", "low", "kept").distinct()
-    lane = Window.partitionBy("doc_id", "low", F.col("kept") - F.col("start")).orderBy("start")
-    inner = (F.col("start") - F.lag("start").over(lane) <= PASSAGE) & (F.lead("start").over(lane) - F.col("start") <= PASSAGE)
-    ends = cut(own.withColumn("_inner", inner).where("not coalesce(_inner, false)").drop("_inner"))
-    around = spooled(_words_around(docs, ends.select("doc_id", "start").union(ends.select("low", "kept")).distinct()))
-    mine, theirs = (around.select(F.col("doc_id").alias(d), F.col("start").alias(s), F.col("before").alias(f"{d}_before"), F.col("after").alias(f"{d}_after")) for d, s in (("doc_id", "start"), ("low", "kept")))
+    lane = Window.partitionBy("doc_id", "th", "low", "at.th", F.col("at.start") - F.col("start")).orderBy("start")
+    step = hits.withColumn("_new", F.coalesce((F.col("start") - F.lag("start").over(lane) > PASSAGE).cast("int"), F.lit(0)))
+    chained = step.withColumn("_chain", F.sum("_new").over(lane)).select("doc_id", "th", F.col("low").alias("k_doc"), F.col("at.th").alias("k_th"), (F.col("at.start") - F.col("start")).alias("_far"), "_chain", "start", "end")
+    by = ["doc_id", "th", "k_doc", "k_th", "_far", "_chain"]
+    runs = cut(chained.groupBy(*by).agg(F.min("start").alias("start"), F.max("end").alias("end")).selectExpr("doc_id", "th", "start", "end", "k_doc", "k_th", "start + _far as k_start", "end + _far as k_end"))
+    asked = runs.select("doc_id", "th", "start", "end").unionByName(runs.selectExpr("k_doc as doc_id", "k_th as th", "k_start as start", "k_end as end")).distinct()
+    around = spooled(_words_around(rows, asked))
+    theirs = around.selectExpr("doc_id as k_doc", "th as k_th", "start as k_start", "end as k_end", "before as k_before", "after as k_after")
 
     def same(side: str) -> Column:
         """Words up to the first that differs or is missing on either side."""
-        equal = F.zip_with(f"doc_id_{side}", f"low_{side}", lambda x, y: F.coalesce(x == y, F.lit(False)))
+        equal = F.zip_with(side, f"k_{side}", lambda x, y: F.coalesce(x == y, F.lit(False)))
         place = F.coalesce(F.array_position(equal, F.lit(False)), F.lit(0))
         return F.when(place > 0, place - 1).otherwise(F.size(equal)).cast("int")
 
-    return ends.join(theirs, ["low", "kept"]).join(mine, ["doc_id", "start"]).select("doc_id", (F.col("start") - same("before")).alias("start"), (F.col("start") + PASSAGE + same("after")).alias("end"))
+    both = runs.join(theirs, ["k_doc", "k_th", "k_start", "k_end"]).join(around, ["doc_id", "th", "start", "end"])
+    return both.select("doc_id", "th", (F.col("start") - same("before")).alias("start"), (F.col("end") + same("after")).alias("end"))
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """doc_id, th and spans (start, end), in order and apart, of spans (doc_id, th, start, end, run) that may overlap.
+
+    What is put together of passages alone counts from RUN words on. Running sums over a row's spans: none is copied.
+    """
+    lane = Window.partitionBy("doc_id", "th").orderBy("start", "end")
+    seen = F.max("end").over(lane.rowsBetween(Window.unboundedPreceding, -1))
+    joint = spans.withColumn("_new", F.coalesce((F.col("start") > seen).cast("int"), F.lit(0))).withColumn("_k", F.sum("_new").over(lane))
+    whole = joint.groupBy("doc_id", "th", "_k").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("run").alias("run"))
+    kept = whole.where(~F.col("run") | (F.col("end") - F.col("start") >= RUN))
+    return kept.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
+def _answers(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """Per row: doc_id, th, class_id, n_words, removed_words, is_clean, spans."""
+    rows = _rows(docs, text, key)
+    made = spooled(units(rows))
+    # copies of a whole text lose it all and need no comparing
+    texts = made.where(f"n_words >= {SHINGLE} and doc_id is not null").groupBy("th").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("_last"))
+    copied = cut(texts.where("owner < _last").select("th", "owner"))
+    once = made.join(copied, "th", "left").where("owner is null or owner = doc_id").select(*made.columns)
+    roots = components(similar(rows, once))
+    each = _each(once, "unit", "start", "end", "run")
+    held = each.groupBy("unit").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    known = held.join(roots, held["unit"] == roots["node"], "left").where("root is not null or low < high")
+    clustered = cut(known.select("unit", "low", "high", F.coalesce("root", "unit").alias("root")))
+    by_root = clustered.groupBy("root").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("root", "low")
+    keepers = cut(clustered.select("unit", "root").join(by_root, "root"))
+    hits = cut(sieved(each, "unit", keepers, "unit").join(keepers.select("unit", "low"), "unit"))
+    places = cut(hits.where("run and doc_id = low").groupBy("unit").agg(F.min(F.struct("th", "start", "end")).alias("at")))  # where a keeper holds a passage
+    repeats = hits.where("doc_id > low")
+    links = repeats.select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
+    row = Window.partitionBy("doc_id", "th").orderBy("start", "run")
+    held_by = F.coalesce(F.max(F.when(~F.col("run"), F.col("end"))).over(row), F.lit(0))  # a paragraph that goes anyway
+    loose = repeats.withColumn("_to", held_by).where("run and end > _to")
+    runs = loose.join(places, "unit").select("doc_id", "th", "low", "at", "start", "end")
+    spans = repeats.where("not run").select("doc_id", "th", "start", "end", "run").unionByName(extended(rows, runs).withColumn("run", F.lit(True)))
+    removed = cut(merged(spans))
+    classes = components(links.join(removed.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi"))
+    own = made.select("doc_id", "th", F.col("n_words").cast("bigint").alias("n_words")).join(copied, "th", "left").join(removed, ["doc_id", "th"], "left")
+    whole = F.coalesce(F.col("owner") < F.col("doc_id"), F.lit(False))
+    none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
+    own = own.withColumn("spans", F.when(whole, F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))).otherwise(F.coalesce("spans", none)))
+    own = own.withColumn("_first", F.when(whole, F.col("owner")).otherwise(F.col("doc_id"))).join(classes.select(F.col("node").alias("_first"), "root"), "_first", "left")
+    lost = F.aggregate("spans", F.lit(0), lambda a, x: a + x["end"] - x["start"]).cast("bigint")
+    return own.select("doc_id", "th", F.coalesce("root", "_first").alias("class_id"), "n_words", lost.alias("removed_words"), (lost == 0).alias("is_clean"), "spans")
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: doc_id, class_id, n_words, removed_words, is_clean, spans.
 
-    A paragraph (5 words or more) repeats another if their five-word shingles have a Jaccard similarity of 0.8 or
-    more; a passage of 26 words repeats an equal one anywhere and is extended to the ends of the equal run. In each cluster the document with the smallest doc_id
-    keeps its text; `spans` are the word ranges [start, end) that go from this one, merged and in order. class_id is the
-    smallest doc_id connected through shared paragraphs or passages (its own for a document that shares none). Repeats
-    within one document stay. Null texts have no words. Rows without doc_id take no part: class null, nothing removed.
-    Rows that repeat a doc_id get the same answer. Spans are word ranges of the whole text, so long texts need no cap.
+    Units are paragraphs (lines of 25 words or more; the whole text where it has none) and, for what repeats inside longer
+    lines, passages of 20 words at anchors that are MinHashes of sliding windows. Paragraphs that share a band are
+    compared; those whose five-word shingles have a Jaccard similarity of 0.8 or more are joined to clusters by
+    components. Equal passages are one unit. In each cluster the document with the smallest doc_id keeps its text.
+    Passages that repeat are verified word by word to the ends of the equal run and go if at least 45 words do so together.
+    `spans` are the word ranges [start, end) that go from a row, merged and in order. class_id is the smallest doc_id
+    connected through what goes (its own for a document that shares none). A copy of a whole text loses all of it.
+
+    Repeats within one text stay, and so do lines of less than 25 words inside longer texts and texts of less than 5
+    words. Null texts have no words. Rows without doc_id take no part: class null, nothing removed. Rows that repeat a
+    doc_id and text get the same answer; different texts of one doc_id each have their own spans, and what repeats among
+    them stays. Spans are word ranges of the whole text, so long texts need no cap. An empty table gives an empty result.
     """
-    docs = docs.selectExpr(f"cast(`{key}` as bigint) as doc_id", f"cast(`{text}` as string) as text")
-    made = spooled(units(docs))
-    roots = components(similar(docs, made))
-    paragraph = F.explode(F.arrays_zip(F.col("p_unit").alias("unit"), F.col("p_start").alias("start"), F.col("p_end").alias("end")))
-    passage = F.explode(F.arrays_zip(F.col("w_unit").alias("unit"), F.col("w_start").alias("start"), F.transform("w_start", lambda s: s + PASSAGE).alias("end")))
-    each = made.select("doc_id", paragraph.alias("u"), F.lit(False).alias("run")).union(made.select("doc_id", passage.alias("u"), F.lit(True))).selectExpr("doc_id", "u.unit", "u.start", "u.end", "run")
-    held = each.groupBy("unit").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    clustered = held.join(roots, held["unit"] == roots["node"], "left").select("unit", "low", "high", "root")
-    by_root = clustered.where("root is not null").groupBy("root").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
-    alone = clustered.where("root is null and low < high").select("unit", "low")
-    keepers = cut(alone.unionByName(clustered.where("root is not null").select("unit", "root").join(by_root, "root").select("unit", "low")))
-    hits = cut(sieved(each, "unit", keepers, "unit").join(keepers, "unit").select("unit", "doc_id", "low", "start", "end", "run"))
-    classes = components(hits.where("doc_id > low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct())
-    found = hits.where("doc_id > low").select("doc_id", "start", "end").unionByName(extended(docs, hits.where("run")))
-    spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("raw"))
-    first = "named_struct('start', cast(-1 as int), 'end', cast(-1 as int))"
-    merged = F.expr(
-        f"""filter(aggregate(raw, array({first}), (acc, x) -> if(x.start <= acc[0].end,
-            concat(array(named_struct('start', acc[0].start, 'end', greatest(acc[0].end, x.end))), slice(acc, 2, size(acc))),
-            concat(array(named_struct('start', x.start, 'end', x.end)), acc)), acc -> reverse(acc)), x -> x.start >= 0)"""
-    )
-    by_doc = spans.select("doc_id", merged.alias("spans")).join(classes.select(F.col("node").alias("doc_id"), F.col("root").alias("class_id")), "doc_id", "full_outer")
-    removed = F.coalesce(F.aggregate("spans", F.lit(0), lambda a, x: a + x["end"] - x["start"]), F.lit(0)).cast("bigint")
-    out = made.select("doc_id", F.col("n_words").cast("bigint").alias("n_words")).join(by_doc, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_words", removed.alias("removed_words"), (removed == 0).alias("is_clean"), F.coalesce("spans", F.expr("cast(array() as array<struct<start: int, end: int>>)")).alias("spans"))
+    return _answers(docs, text, key).drop("th")
 
 
 def without_spans(text: str, spans: list) -> str:
@@ -279,7 +327,7 @@ def without_spans(text: str, spans: list) -> str:
     for s in spans:
         out.append(text[at : starts[s["start"]]])
         at = starts[s["end"]]
-    return "".join([*out, text[at:]]).rstrip()
+    return "".join([*out, text[at:]]).rstrip(" \t\n\v\f\r")
 
 
 def remove_passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -293,8 +341,8 @@ def remove_passages(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     def cutting(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([without_spans(t, s) if t is not None and s is not None and len(s) else t for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    found = repeated_passages(docs, text, key).where("removed_words > 0").select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans")).dropDuplicates(["_doc"])
-    joined = docs.join(found, docs[key].cast("bigint") == found["_doc"], "left")
+    found = _answers(docs, text, key).where("removed_words > 0").select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("spans").alias("_spans")).dropDuplicates(["_doc", "_th"])
+    joined = docs.join(found, (docs[key].cast("bigint") == found["_doc"]) & (F.xxhash64(docs[text].cast("string")) == found["_th"]), "left")
     changed = joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cutting(F.col(text), F.col("_spans"))))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
