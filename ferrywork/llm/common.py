@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch that Python works on at once (one row at least).
-SLICE_ROWS, SLICE_BYTES = 1024, 4_000_000
+SLICE_ROWS, SLICE_BYTES = 1024, 2_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -48,7 +48,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a folder of our own in local mode
+    only (one machine, as in tests); on a cluster that would be the driver's own disk, so it is an error."""
     jsc = spark.sparkContext._jsc.sc()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -56,6 +57,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ferrywork-ckpt-"))
     return jsc.getCheckpointDir().get()
 
@@ -70,10 +73,26 @@ def spooled(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a Parquet table under the checkpoint folder (compact, column-pruned on rereading)."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/spool-{uuid.uuid4().hex}"
+    _SPOOLED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that spooled() wrote and nobody has deleted.
+_SPOOLED: list[str] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what spooled() wrote so far; for callers whose results are written already."""
+    while _SPOOLED:
+        delete(spark, _SPOOLED.pop())
+
+
 def meeting_blocks(df: DataFrame, key: str, member: str, block: int) -> DataFrame:
     """Adds _bx, _by so that any two rows of one key share a (key, _bx, _by) group, and no group grows with the key.
 
@@ -87,28 +106,64 @@ def meeting_blocks(df: DataFrame, key: str, member: str, block: int) -> DataFram
     return dealt.withColumn("_other", other).withColumn("_bx", F.least("_own", "_other")).withColumn("_by", F.greatest("_own", "_other")).drop("_own", "_other", "_parts")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges of a task in components(). Up to SMALL a graph is joined up by one task; the result is the same either way.
+EDGES, SMALL = 50_000, 200_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union by the smaller root, over edges (a, b): rows (node, root)."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while parent.setdefault(root, root) != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "root"])
+
+
+def components(edges: DataFrame, rounds: int = 60, small: int = SMALL) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node reachable.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014), each pre-aggregated before its shuffle and
-    checkpointed. Nodes without an edge to another node are not listed. Raises if `rounds` do not suffice.
+    checkpointed. A graph of at most `small` different edges (some megabytes) needs no rounds: one task joins it up.
+    Nodes without an edge to another node are not listed. Raises if `rounds` do not suffice.
     """
+    ensure_worker_path(edges.sparkSession)
     star = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = None
     for _ in range(rounds):
         row = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(row) == seen or row[0] == 0:
             return star.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(star.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        seen = tuple(row)
+        if seen is None and row[0] <= small:
+            return cut(star.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(1).mapInArrow(_joined, "node long, root long"))
+        seen, parts = tuple(row), -(-row[0] // EDGES)
+        star = star.coalesce(parts)
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        star = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).coalesce(parts)
+        large = _met(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").coalesce(parts).distinct().coalesce(parts)
+        least = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts)
+        small = _met(large, least).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").coalesce(parts).unionByName(least.select("a", F.col("m").alias("b")))
+        star = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(parts))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (a, b) with m of their a. The key is not the one that `least` was grouped by, so both sides are dealt for
+    the join alone and Spark may split a node of many edges over tasks (adaptive skew join)."""
+    key = F.col("a").bitwiseXOR(F.lit(1))
+    return edges.withColumn("_x", key).join(least.select(key.alias("_x"), "m"), "_x").drop("_x")
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.ChunkedArray]]:
     """The runs of two or more equal keys (the first `keys` columns, no nulls) of a sorted stream, one at a time."""
     rest: pa.Table | None = None
