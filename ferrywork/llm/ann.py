@@ -210,8 +210,9 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id
                 for row in range(len(q)):
                     first = np.sort(((x[own[best[row]]] - x[q[row]]) ** 2).sum(axis=1)[scores[row, best[row]] > -np.inf])
                     reach = first[min(k, len(first)) - 1] if len(first) else 0.0
-                    about = np.maximum(((x[q[row]] - index.mean) ** 2).sum() - 2 * scores[row], 0)
-                    some = np.flatnonzero((about - MARGIN * 2 * np.sqrt(about / dims) * err <= reach) & (scores[row] > -np.inf))
+                    others = np.flatnonzero(scores[row] > -np.inf)
+                    about = np.maximum(((x[q[row]] - index.mean) ** 2).sum() - 2 * scores[row, others], 0)
+                    some = others[about - MARGIN * 2 * np.sqrt(about / dims) * err[others] <= reach]
                     some = np.union1d(some, best[row][scores[row, best[row]] > -np.inf])
                     exact = np.sqrt(((x[own[some]] - x[q[row]]) ** 2).sum(axis=1))
                     order = np.lexsort((ids[own[some]], exact))[:k]
