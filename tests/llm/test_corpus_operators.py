@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ferrywork.llm import ann, chat, common, mixing, queries, quality, simhash, substring, toxicity
@@ -62,9 +63,10 @@ def test_components(spark):
     for a, b in edges:
         if a != b:
             u.join(a, b)
-    found = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {x: u.find(x) for x in u}
-    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for small in (0, common.SMALL):  # by rounds, and by one task
+        found = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
+        assert found == {x: u.find(x) for x in u}
+        assert common.components(spark.createDataFrame([], "a long, b long"), small=small).count() == 0
 
 
 def test_blocks_meet_all_pairs(spark):
@@ -126,7 +128,7 @@ def test_substring(spark):
     assert {i for i, r in rows.items() if not r["is_clean"]} == {2, 5, 6}
     left = {r["doc_id"]: r for r in substring.remove_passages(docs).collect()}
     assert all(left[i]["text"] == texts[i] for i in (1, 3, 4, 7, 8))
-    assert len(left[6]["text"].split()) < 39  # up to 19 words before the first anchor and after the last passage stay
+    assert 6 not in left  # a document that is wholly a repeat goes
     assert passage(6, 51).split()[-20:] == left[2]["text"].split()[-20:] and left[2]["n_chars"] == len(left[2]["text"]) < len(texts[2]) - 60
     assert left[5]["text"] == passage(9, 45)
 
@@ -150,22 +152,50 @@ def test_bands_reach_the_recall(spark):
         a = [f"w{rng.getrandbits(40)}" for _ in range(94)]  # 90 shingles
         b = a[:84] + [f"w{rng.getrandbits(40)}" for _ in range(10)]  # 80 of them and 10 others
         docs += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
-    near = substring.units(spark.createDataFrame(docs, "doc_id long, text string"))
-    found = substring.similar(spark.createDataFrame(docs, "doc_id long, text string"), near)
-    assert found.distinct().count() >= 0.98 * pairs
+    rows = substring._rows(spark.createDataFrame(docs, "doc_id long, text string"), "text", "doc_id")
+    made = substring.units(rows)
+    whole = made.select("doc_id", F.explode(F.arrays_zip("unit", "run")).alias("u")).where("not u.run").select("u.unit", "doc_id").collect()
+    doc = {r["unit"]: r["doc_id"] for r in whole}
+    found = {frozenset((doc[r["a"]], doc[r["b"]])) for r in substring.similar(rows, made).collect() if r["a"] in doc and r["b"] in doc}
+    assert sum(frozenset((2 * k, 2 * k + 1)) in found for k in range(pairs)) >= 0.98 * pairs
 
 
-def test_short_paragraphs_repeat(spark):
-    """Lines of 5 to 24 words, equal and nearly equal, in texts too short for a passage of 26 words."""
+def test_short_paragraphs(spark):
+    """Lines of 5 to 24 words: inside longer texts they stay, however often they repeat; whole texts of them are compared."""
     texts, lines = {}, {n: passage(200 + n, n) for n in range(5, 25)}
     for n, line in lines.items():
-        texts[n] = f"{passage(300 + n, 4)}\n{line}"
-        texts[100 + n] = f"{line}\n{passage(400 + n, 4)}"
+        texts[n] = f"{passage(300 + n, 30)}\n{line}"
+        texts[100 + n] = f"{line}\n{passage(400 + n, 30)}"
+        texts[1000 + n] = texts[1100 + n] = f"{passage(1500 + n, n)}\n{passage(1600 + n, 3)}"
     near = passage(500, 24)
     texts |= {200: near, 201: near + " more", 202: passage(501, 12), 203: passage(502, 12)}
     rows = {r["doc_id"]: r for r in substring.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    assert all([tuple(x) for x in rows[100 + n]["spans"]] == [(0, n)] and rows[n]["is_clean"] and rows[100 + n]["class_id"] == n for n in lines)
-    assert rows[201]["removed_words"] == 25 and all(rows[i]["is_clean"] for i in (200, 202, 203))
+    assert all(rows[i]["is_clean"] for n in lines for i in (n, 100 + n, 1000 + n)) and all(rows[i]["is_clean"] for i in (200, 202, 203))
+    assert all([tuple(x) for x in rows[1100 + n]["spans"]] == [(0, n + 3)] and rows[1100 + n]["class_id"] == 1000 + n for n in lines)
+    assert rows[201]["removed_words"] == 25
+
+
+def test_substring_removes_repeats_alone(spark):
+    """Every removed word of the smallest tables lies in a line, text or run that an earlier document holds or nearly so."""
+    texts = texts_of(spark)
+    rows = {r["doc_id"]: r for r in queries.queries()["op10_substring_dedup"](spark, D).collect()}
+    split = {i: words(t.translate(LOW)) for i, t in texts.items()}
+    grams = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in split.items()}
+    for i, r in rows.items():
+        for s in r["spans"]:
+            own = {tuple(split[i][k : k + 5]) for k in range(s["start"], s["end"] - 4)}
+            others = set().union(*(g for j, g in grams.items() if rows[j]["class_id"] == r["class_id"] and j != i))
+            assert len(own & others) >= 0.8 * len(own) - 8  # a Jaccard of 0.8 of each unit, but for its two ends
+
+
+def test_rows_that_share_an_id(spark):
+    """Different texts under one doc_id are rows of their own, of other lengths and with other spans."""
+    long, short = passage(71, 120), passage(72, 30)
+    docs = spark.createDataFrame([(1, f"{passage(73, 40)} {long}"), (5, f"{passage(74, 50)} {long} {passage(75, 20)}"), (5, short), (5, short), (None, long)], "doc_id long, text string")
+    rows = substring.repeated_passages(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["removed_words"]) for r in rows) == [(0, 120, 0), (1, 160, 0), (5, 30, 0), (5, 30, 0), (5, 190, 120)]
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in substring.remove_passages(docs).collect())
+    assert left == sorted([(0, long), (1, f"{passage(73, 40)} {long}"), (5, f"{passage(74, 50)} {passage(75, 20)}"), (5, short), (5, short)])
 
 
 def test_substring_extends_to_the_ends(spark):
@@ -226,6 +256,43 @@ def test_op2(spark):
     assert all(abs(taken[s] - target[s]) <= 1 for s in names)
 
 
+def test_blocks_of_the_mix(spark):
+    """The mix's blocks hold the words that op2 counts, each block in one piece of its source's text, none above 2 times."""
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text", "source")
+    rows = mixing.mixed_blocks(docs, shard=100).collect()
+    assert len({(r["shard"], r["position"]) for r in rows}) == len(rows)
+    by_shard = defaultdict(list)
+    for r in rows:
+        by_shard[r["shard"]].append(r["position"])
+    assert all(0 <= min(v) and max(v) < 100 for v in by_shard.values()) and len(by_shard) > 3  # the last slots of a source may give no words
+    taken, found = defaultdict(int), defaultdict(int)
+    for r in mixing.mix_documents(docs).join(docs.select("doc_id", "source"), "doc_id").collect():
+        taken[r["source"]] += r["taken"]
+    for r in rows:
+        found[r["source"]] += len(words(r["text"]))
+        assert 0 < len(words(r["text"])) <= mixing.BLOCK
+    assert found == taken
+    texts = {r["source"]: set() for r in rows}
+    for r in docs.collect():
+        texts[r["source"]] |= set(words(r["text"]))
+    assert all(set(words(r["text"])) <= texts[r["source"]] for r in rows)
+
+
+def test_blocks_grow_with_the_mix():
+    assert mixing.block_words(10**9) == 256 and mixing.block_words(3 * 10**13) <= 2**18
+    assert all(10**k // mixing.block_words(10**k) <= mixing.SLOTS // 2 for k in range(1, 18))
+
+
+def test_whole_documents_near_their_target(spark):
+    rng = random.Random(8)
+    rows = [(k, f"s{k % 3}", rng.choice((1, 5, 40, 300, 2000)), rng.random() * 2) for k in range(6000)]
+    found = {r["_doc"]: r["_copies"] for r in mixing.copies(spark.createDataFrame(rows, "_doc long, _source string, _words long, _x double")).collect()}
+    assert all(int(x) <= found[k] <= int(x) + 1 for k, _, _, x in rows)
+    for s in ("s0", "s1", "s2"):
+        own = [r for r in rows if r[1] == s]
+        assert abs(sum(found[k] * n for k, _, n, _ in own) - sum(x * n for _, _, n, x in own)) < 2 * 2000
+
+
 def test_mixing_of_odd_rows(docs, no_docs):
     rows = mixing.mix_documents(docs).collect()
     assert len(rows) == 9 and all(r["taken"] == 0 for r in rows if r["doc_id"] in (0, 1, 2))
@@ -242,18 +309,69 @@ def test_op7(spark):
     assert sum(a == b for a, b in held) / len(held) > 0.93 and sum(a and b for a, b in held) / sum(a for a, _ in held) > 0.6
 
 
-def test_contexts_are_counted_exactly(spark):
-    """Words after thousands of others, in several documents, and words that no labelled document holds."""
-    texts = [" ".join(f"w{k} often" for k in range(j * 1000, j * 1000 + 2000)) + " rare" for j in range(3)]
+def test_contexts_of_all_documents(spark):
+    """Words after thousands of others, in several documents, words that no labelled document holds, and other stems."""
+    texts = [" ".join(f"w{k} often" for k in range(j * 1000, j * 1000 + 2000)) + " rare oftener else" for j in range(3)]
+    v = toxicity.Vocabulary([b"often", b"rare"])
     before = defaultdict(set)
     for t in texts:
-        bins, stems = toxicity.word_bins(t)
-        for x, b, s in zip([0, *bins.tolist()], bins.tolist(), stems.tolist()):
-            before[b].add(x)
-            before[s].add(x)
-    found = toxicity.contexts(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
-    assert {k: int(found[k]) for k in np.flatnonzero(found)} == {k: len(v) for k, v in before.items()}
-    assert max(found) > 3900
+        w = t.split()
+        for x, y in zip(["", *w], w):
+            before[{"often": 0, "rare": 1, "oftener": 2}.get(y, 4)].add(x)
+    found = toxicity.contexts(spark.createDataFrame([(t,) for t in texts], "text string"), "text", spark.sparkContext.broadcast(v))
+    assert len(found) == 5 and found[:3] == pytest.approx([len(before[k]) for k in range(3)], rel=0.01) and found[4] == pytest.approx(len(before[4]), rel=0.01)
+    assert found[0] > 3900 and found[3] == 0
+
+
+def plain_models(samples, corpus):
+    """p(word | word before) of both classes from dictionaries, for words of the samples."""
+    off = lambda c: (0, 1.0, 1.75, 2.5)[min(c, 3)]
+    vocabulary = sorted({w for texts in samples for t in texts for w in t.split()})
+    pairs = {(x, y) for t in corpus for x, y in zip(["", *t.split()], t.split())}
+    shared = {w: 0.5 + sum(y == w for _, y in pairs) for w in vocabulary}
+    stems = sorted({w[:4] for w in vocabulary})
+    stem = {s: 0.5 + len({x for x, y in pairs if y[:4] == s and y not in shared}) + sum(n for w, n in shared.items() if w[:4] == s) for s in stems}
+    whole = sum(stem.values()) + 0.5 + len({x for x, y in pairs if y[:4] not in stem})
+    out = []
+    for texts in samples:
+        bigrams = defaultdict(int)
+        for t in texts:
+            for x, y in zip(["", *t.split()], t.split()):
+                bigrams[x, y] += 1
+        follows = {w: sum(y == w for _, y in bigrams) for w in vocabulary}
+        of_stem = {s: sum(n for w, n in follows.items() if w[:4] == s) for s in stems}
+        total, rest, rest_stem = len(bigrams), sum(map(off, follows.values())), sum(map(off, of_stem.values()))
+
+        def p(u, w, bigrams=bigrams, follows=follows, of_stem=of_stem, total=total, rest=rest, rest_stem=rest_stem):
+            s = w[:4]
+            of = (of_stem[s] - off(of_stem[s]) + rest_stem * stem[s] / whole) / total
+            one = (follows[w] - off(follows[w])) / total + rest / total * of * shared[w] / stem[s]
+            after = [c for (x, _), c in bigrams.items() if x == u]
+            if not after:
+                return one
+            c = bigrams.get((u, w), 0)
+            return (c - off(c)) / sum(after) + sum(map(off, after)) / sum(after) * one
+
+        out.append(p)
+    return out, vocabulary
+
+
+def test_kneser_ney_like_plain(spark):
+    rng, letters = random.Random(4), "lowei lowen loweit stark starr mild milder und oder aber".split()
+    texts = [" ".join(rng.choice(letters[c:]) for _ in range(rng.randint(1, 14))) for c in (0, 3) for _ in range(12)]
+    corpus = texts + ["und neu starkes aber mild", "loweix ganz anders"]
+    rows = spark.createDataFrame([(int(k >= 12), t) for k, t in enumerate(texts)], "toxic int, text string")
+    v = spark.sparkContext.broadcast(toxicity.words_of(rows))
+    shared = toxicity.contexts(spark.createDataFrame([(t,) for t in corpus], "text string"), "text", v)
+    models = toxicity.Models(v.value, np.round(shared), toxicity.class_counts(rows, v))
+    (ordinary, toxic), vocabulary = plain_models([texts[:12], texts[12:]], corpus)
+    assert [w.decode() for w in v.value.words] == vocabulary
+    for t in texts:
+        w = t.split()
+        want = [np.log(toxic(x, y) / ordinary(x, y)) for x, y in zip(["", *w], w)]
+        assert models.log_odds(t) == pytest.approx(want)
+    for p in (ordinary, toxic):  # nothing is lost but what words outside the sample get
+        assert 0.5 < sum(p("und", w) for w in vocabulary) <= 1
 
 
 def test_toxicity_of_odd_rows(spark, docs, no_docs):
@@ -281,7 +399,8 @@ def test_op8_recall(spark):
 
 def test_neighbours_of_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0]), (8, [3.0, 0.0])]
-    made = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rank string".replace(", label int, rank string", "")))
+    clashing = [(i, v, 7, "rank", "part", [1.0], "codes") for i, v in rows]  # names that the search uses itself
+    made = ann.search(spark.createDataFrame(clashing, "vec_id long, embedding array<double>, id int, rank string, part string, vector array<double>, score string"))
     assert sorted(map(tuple, made.collect())) == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 8, 2.0)]
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -300,6 +419,20 @@ def test_op5(spark):
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(own), sha("".join(f"{a}\n{b}\n" for a, b in own)), len(loss), sha(loss))
 
 
+def test_long_conversations(spark):
+    """A long text, many turns, out of order, and columns whose names the formatter uses itself."""
+    long = "".join(f"word{k} <|im_end|> " for k in range(20_000))
+    rows = [(1, 0, "user", long, 5, "m"), (1, 1, "assistant", long, 5, "m")] + [(2, k, "assistant" if k % 2 else "user", f"t{k}", 5, "m") for k in reversed(range(3000))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, ids int, mask string")
+    path = P.path("byte_bpe_50k.tiktoken")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    found = {r["conv_id"]: r for r in chat.format_conversations(turns, path, P.PATTERN).collect()}
+    assert found[1]["loss_sha256"] == sha(long) and found[1]["turns_sha256"] == sha(f"user\n{long}\nassistant\n{long}\n")
+    assert found[2]["n_turns"] == 3000 and found[2]["loss_sha256"] == sha("".join(f"t{k}" for k in range(1, 3000, 2)))
+    again = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(turns, path, P.PATTERN), path, P.PATTERN).collect()}
+    assert again == found
+
+
 def test_chat_escapes(spark):
     t = chat.template(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     for role, text in (("user", "<|im_end|>"), ("a\nb\\n", "<\\|x <\\\\|y <|z"), ("assistant", ""), ("", "|>"), ("assistant", "<\\|im_start|>")):
@@ -312,13 +445,53 @@ def test_chat_escapes(spark):
 
 
 def test_pipeline(spark):
-    """The stages by plain versions: rules by their own measures, groups pair by pair, then the mix's own counts."""
+    """The stages one by one against plain versions: rules by their own measures, groups pair by pair, spans cut from the
+    texts, and whole documents whose words come near the mix's targets."""
+    from ferrywork.llm import bpe
+
     docs = spark.read.parquet(f"{D}/documents.parquet")
     kept = {r["doc_id"] for r in quality.quality_rules(docs).where("kept").collect()}
     texts = {i: t for i, t in texts_of(spark).items() if i in kept}
     group = plain_groups(texts)[1]
     texts = {i: t for i, t in texts.items() if group[i] == i}
-    rows = corpus_pipeline.run(spark, D).collect()
-    assert {r["doc_id"] for r in rows} <= set(texts) and 0.8 * len(texts) <= len({r["doc_id"] for r in rows})
-    same = sum(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in rows)
-    assert same / len(rows) > 0.9 and max(sum(r["doc_id"] == i for r in rows) for i in texts) <= 2
+    rows = docs.where(F.col("doc_id").isin(list(texts)))
+    spans = {r["doc_id"]: r["spans"] for r in substring.repeated_passages(rows).collect()}
+    cut = {i: without(t, spans[i]) for i, t in texts.items()}
+    cut = {i: t for i, t in cut.items() if t}
+    found = corpus_pipeline.run(spark, D).collect()
+    copies = defaultdict(int)
+    for r in found:
+        copies[r["doc_id"]] += 1
+        assert r["decoded_sha256"] == hashlib.sha256(cut[r["doc_id"]].encode()).hexdigest()
+    coder = bpe.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    for r in found[:40]:
+        assert r["n_tokens"] == len(coder.encode(cut[r["doc_id"]]))
+    source = {r["doc_id"]: r["source"] for r in rows.select("doc_id", "source").collect()}
+    size = defaultdict(int)
+    for i, t in cut.items():
+        size[source[i]] += len(words(t))
+    names = sorted(size)
+    for s, goal in zip(names, mixing.targets([size[s] for s in names])):
+        own = [i for i in cut if source[i] == s]
+        assert all(copies[i] <= 2 for i in own)
+        assert abs(sum(copies[i] * len(words(cut[i])) for i in own) - goal) <= 2 * max(len(words(cut[i])) for i in own)
+
+
+def without(text, spans):
+    gone, out, at = {k for s in spans for k in range(s["start"], s["end"])}, [], 0
+    starts = [m.start() for m in __import__("re").finditer(r"[^\x20\x09-\x0D]+", text)] + [len(text)]
+    pieces = [text[: starts[0]]] + [text[a:b] for a, b in zip(starts, starts[1:])]
+    if not spans:
+        return text
+    return "".join([pieces[0], *(p for k, p in enumerate(pieces[1:]) if k not in gone)]).rstrip(" \t\n\v\f\r")
+
+
+def test_stages_of_odd_rows(spark, docs, no_docs):
+    """Null ids and texts, repeated rows, empty tables and clashing columns in every stage."""
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, "")
+        assert name == "byte_bpe" or made.columns == docs.columns
+        made.collect()
+        assert stage(spark, no_docs, "").count() == 0
+    near = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    assert sum(r["doc_id"] is None for r in near) == 1 and {r["doc_id"] for r in near if r["doc_id"] is not None} == {0, 3, 5}

@@ -106,6 +106,27 @@ def test_license_rules():
     assert licenses.scan("")[:7] == (0, 0, None, None, "", "", 0.0)
 
 
+def test_license_forms():
+    """Names over line ends and two spaces, expressions with several identifiers, and keywords that occur in what their rules match."""
+    labels = lambda text: {x[2] for x in licenses.detect(text.lower())}
+    assert labels("licensed under the\n   apache license,  version 2.0") == {"apache-2.0"}
+    assert labels("SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause") == {"mit", "apache-2.0", "bsd-3-clause"}
+    assert labels("Permission to use, copy, modify, and/or\n distribute this software for any purpose") == {"isc"}
+    assert labels("do what the fuck you want to public license") == {"wtfpl"} and labels("success accepts") == set()
+
+
+def test_license_places_are_linear():
+    import time
+
+    took = []
+    for n in (20_000, 200_000):
+        began = time.process_time()
+        found = licenses.scan("cc by " * n)
+        took.append(time.process_time() - began)
+        assert found[:4] == (2 * n, n, 0, 2 * n - 2)
+    assert took[1] < 40 * took[0]
+
+
 def test_op6(spark):
     db = duckdb.connect()
     db.sql(f"create view documents as select * from read_parquet('{D}/documents.parquet')")
