@@ -423,7 +423,7 @@ def paged_entries(spark, d):
     return streams.select("k", F.explode(pages).alias("id")).dropDuplicates(["k", "id"]).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('users', CAST(2000 AS BIGINT)), ('orders', 2000), ('products', 200)) t(tbl, n)")
 def generated_tables(spark, d):
     made = registry.generated(spark, 2000)
     return verify.counts(made).withColumnRenamed("table", "tbl")
