@@ -7,7 +7,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, compress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,7 +60,7 @@ class Template:
             end = ids.index(self.end, at)
             role, _, text = self.coder.decode_bytes(ids[at + 1 : end]).decode().partition("\n")
             role = re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
-            loss = self.coder.decode_bytes([i for i, m in zip(ids[at:end], mask[at:end], strict=True) if m]).decode()
+            loss = self.coder.decode_bytes(list(compress(ids[at:end], mask[at:end]))).decode()
             out.append((role, unescape(text), unescape(loss)))
             at = end + 1 + len(self.newline)
         return out
@@ -71,6 +71,10 @@ def template(path: str, pattern: str) -> Template:
     return Template(path, pattern)
 
 
+def _turns(turns: DataFrame) -> DataFrame:
+    return turns.selectExpr("cast(conv_id as bigint) as conv_id", "cast(turn as bigint) as turn", "coalesce(cast(role as string), '') as role", "coalesce(cast(text as string), '') as text")
+
+
 def format_turns(turns: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per turn, without a shuffle: conv_id, turn, role, text, ids, mask, formatted_chars.
 
@@ -85,21 +89,43 @@ def format_turns(turns: DataFrame, path: str, pattern: str) -> DataFrame:
         arrays = [pa.array(ids, pa.list_(pa.int32())), pa.array(mask, pa.list_(pa.int8())), pa.array(n, pa.int64())]
         return pa.RecordBatch.from_arrays([*batch.columns, *arrays], ["conv_id", "turn", "role", "text", "ids", "mask", "formatted_chars"])
 
-    rows = turns.selectExpr("cast(conv_id as bigint) as conv_id", "cast(turn as bigint) as turn", "coalesce(cast(role as string), '') as role", "coalesce(cast(text as string), '') as text")
-    return map_batches(rows, one, "conv_id long, turn long, role string, text string, ids array<int>, mask array<tinyint>, formatted_chars long")
+    return map_batches(_turns(turns), one, "conv_id long, turn long, role string, text string, ids array<int>, mask array<tinyint>, formatted_chars long")
+
+
+_PARSED = "conv_id long, turn long, role string, text string, loss string, formatted_chars long"
+
+
+def _parsed(t: Template, convs: pa.Array, turns: pa.Array, made: list) -> pa.RecordBatch:
+    """Turns as they are read back from (ids, mask, characters). loss is null where it is the whole text."""
+    out: list[list] = [[], [], []]
+    for ids, mask, _ in made:
+        ((role, text, loss),) = t.parse(ids, mask)
+        for column, value in zip(out, (role, text, None if loss == text else loss), strict=True):
+            column.append(value)
+    return pa.RecordBatch.from_arrays([convs, turns, *(pa.array(c, pa.string()) for c in out), pa.array([m[2] for m in made], pa.int64())], [f.split()[0] for f in _PARSED.split(", ")])
 
 
 def read_back(formatted: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per conversation, from ids and mask alone: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    """The rows of digest(), from the ids and masks of format_turns() alone. Each row is parsed where it lies."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return _parsed(template(path, pattern), batch.column(0), batch.column(1), list(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)))
+
+    return digest(map_batches(formatted.select("conv_id", "turn", "ids", "mask", "formatted_chars"), one, _PARSED))
+
+
+def digest(parsed: DataFrame) -> DataFrame:
+    """Per conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     Rows are dealt by conv_id, sorted by turn (ties: role, text) and hashed as they stream by, so a conversation of any
     length takes the memory of one turn. Rows without conv_id form one conversation of their own. A digest reads its
-    turns in order; that is the only step that a single conversation cannot spread over tasks.
+    turns in order; that is the only step that a single conversation cannot spread over tasks: what is parsed, encoded
+    and counted was so before. An empty table gives an empty result.
     """
-    ensure_worker_path(formatted.sparkSession)
+    ensure_worker_path(parsed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, now, state, done = template(path, pattern), None, None, []
+        now, state, done = None, None, []
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*done, strict=True)) if done else [[]] * 6
@@ -111,29 +137,35 @@ def read_back(formatted: DataFrame, path: str, pattern: str) -> DataFrame:
                 done.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         for batch in batches:
-            for k in range(batch.num_rows):
-                conv = batch.column(0)[k].as_py()
+            for conv, role, text, loss, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if state is None or conv != now:
                     end()
                     now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text, loss in t.parse(batch.column(1)[k].as_py(), batch.column(2)[k].as_py()):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
-                    state[2] += len(loss)
-                    state[3].update(loss.encode())
-                state[4] += batch.column(3)[k].as_py()
+                loss = text if loss is None else loss
+                state[0] += 1
+                state[1].update(f"{role}\n{text}\n".encode())
+                state[2] += len(loss)
+                state[3].update(loss.encode())
+                state[4] += n
             yield flush()
             done.clear()
         end()
         if done:
             yield flush()
 
-    dealt = formatted.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "ids", "mask", "formatted_chars")
+    dealt = parsed.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text", "loss", "formatted_chars")
     return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def format_conversations(turns: DataFrame, path: str, pattern: str) -> DataFrame:
-    return read_back(format_turns(turns, path, pattern), path, pattern)
+    """read_back(format_turns(turns)), without moving ids between processes: each turn is assembled to ids and mask and
+    parsed from them in one step, and only what was parsed is dealt by conversation."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        t = template(path, pattern)
+        return _parsed(t, batch.column(0), batch.column(1), [t.turn(r, x) for r, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
+
+    return digest(map_batches(_turns(turns), one, _PARSED))
 
 
 #: Rows that the query adds: control strings in the texts of both sides.
