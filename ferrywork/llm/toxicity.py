@@ -156,19 +156,19 @@ class Class:
         off_stem = discount(of_stem)
         stem = (of_stem - off_stem + max(off_stem.sum(), 1.0) * by_stem / whole) / total
         rest = max(off.sum(), 1.0) / total
-        #: p(w) of words; of others (by stem, the last for other stems) less their share of the stem, the same in any class
-        self.word = (words - off) / total + rest * stem[v.stem_of] * shared[: v.n] / by_stem[v.stem_of]
-        self.other = rest * np.append(stem, max(off_stem.sum(), 1.0) / total / whole)
+        word = (words - off) / total + rest * stem[v.stem_of] * shared[: v.n] / by_stem[v.stem_of]
+        #: p(w) of items: of words; of others (by stem, the last for other stems) less their share of the stem, the same in any class
+        self.p = np.concatenate([word, rest * np.append(stem, max(off_stem.sum(), 1.0) / total / whole)])
+        self.n = v.n
         self.rest = np.append(np.where(after > 0, freed / np.maximum(after, 1), 1.0), 1.0)  # the last: an unknown word before
         self.after, self.pair, self.more = np.append(np.maximum(after, 1), 1), pair, count - discount(count)
 
     def logs(self, ids: np.ndarray, items: np.ndarray, u: np.ndarray) -> np.ndarray:
-        n, known = len(self.word), ids >= 0
-        p = np.concatenate([self.word, self.other])[items] * self.rest[u]
+        p = self.p[items] * self.rest[u]
         if len(self.pair):
             key = u << 32 | np.maximum(ids, 0)
             at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-            p = p + np.where((self.pair[at] == key) & known & (u <= n), self.more[at], 0) / self.after[u]
+            p = p + np.where((self.pair[at] == key) & (ids >= 0) & (u <= self.n), self.more[at], 0) / self.after[u]
         return np.log(p)
 
 
