@@ -5,6 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache, partial
 from sys import getsizeof
 
@@ -23,6 +26,9 @@ WHITE = "\t-\r \x85\xa0" + chr(0x1680) + f"{chr(0x2000)}-{chr(0x200A)}" + "".joi
 REMEMBERED, PLACE = 72_000_000, 64
 #: Marks (one byte each) of what was asked once; beyond half of them they are cleared.
 MARKS = 1 << 21
+#: Seconds without work after which a worker forgets all that. Spark keeps idle workers for a minute, beside stages that
+#: need the memory; the tasks of one stage follow each other faster.
+REST = 2.0
 
 
 #: ASCII marks that end a run of letters and, one or more, are a match of the pattern; the apostrophe may begin others.
@@ -37,8 +43,12 @@ class Memo(dict):
     """
 
     def __init__(self, compute, limit: int = REMEMBERED, longest: int = 64):
-        self.compute, self.half, self.longest, self.old = compute, limit // 2, longest, {}
-        self.room, self.marks, self.marked = self.half, bytearray(MARKS), 0
+        self.compute, self.half, self.longest = compute, limit // 2, longest
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.room, self.marks, self.marked = {}, self.half, bytearray(MARKS), 0
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -153,6 +163,35 @@ class Codec:
         self.after_space = Memo(partial(self._stretch, " "))
         self.after_line = Memo(partial(self._stretch, ""), REMEMBERED // 4)
         self.line_end = f",{self._piece(chr(10))},"
+        self.lock, self.rest = threading.Lock(), None
+
+    @contextmanager
+    def at_work(self) -> Iterator[Codec]:
+        """What it remembers stays meanwhile, and goes REST seconds after the last of these ends."""
+        with self.lock:
+            if self.rest:
+                self.rest.cancel()
+            try:
+                yield self
+            finally:
+                self.rest = threading.Timer(REST, self._rested)
+                self.rest.daemon = True
+                self.rest.start()
+
+    def _rested(self) -> None:
+        with self.lock:
+            if self.rest is threading.current_thread():  # else work came in between
+                self.forget()
+                pa.default_memory_pool().release_unused()
+
+    def forget(self) -> None:
+        """Empties all that is only remembered; what is asked again is worked out again."""
+        for memo in (self.pieces, self.after_space, self.after_line):
+            memo.forget()
+        self.known.clear()
+        self._split.clear()
+        self.child.clear()
+        del self.last_of[1:]
 
     def _lengths(self) -> dict[bytes, tuple[int, ...]]:
         """Lengths, longest first, of the tokens that end in given four bytes, besides the short ones."""
@@ -296,8 +335,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     """Per row: doc_id, ids (array<int>). A null text is empty: no ids. Rows are independent; nothing is shuffled."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec(path, pattern)
-        ids = [c.encode(t) for t in pc.fill_null(batch.column(1), "").to_pylist()]
+        with codec(path, pattern).at_work() as c:
+            ids = [c.encode(t) for t in pc.fill_null(batch.column(1), "").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return map_batches(_rows(docs, text, key), one, "doc_id long, ids array<int>")
@@ -321,13 +360,13 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", key
     """
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec(path, pattern)
         n, a, b = [], [], []
-        for t in pc.fill_null(batch.column(1), "").to_pylist():
-            ids = c.encode_joined(t)
-            n.append(ids.count(",") + 1 if ids else 0)
-            a.append(hashlib.sha256(ids.encode()).hexdigest())
-            b.append(hashlib.sha256(c.decode_joined(ids)).hexdigest())
+        with codec(path, pattern).at_work() as c:
+            for t in pc.fill_null(batch.column(1), "").to_pylist():
+                ids = c.encode_joined(t)
+                n.append(ids.count(",") + 1 if ids else 0)
+                a.append(hashlib.sha256(ids.encode()).hexdigest())
+                b.append(hashlib.sha256(c.decode_joined(ids)).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_batches(_rows(docs, text, key), one, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import duckdb
 import public_tokenizers as P
@@ -159,3 +160,20 @@ def test_odd_rows(spark, docs, no_docs):
     assert quality.quality_rules(docs).where("doc_id = 0").first()["base_failed"]
     for made in (token_counts.count_tokens(no_docs, path), licenses.scan_licenses(no_docs), quality.quality_rules(no_docs), bpe.round_trip(no_docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)):
         assert made.count() == 0
+
+
+def test_a_resting_codec_holds_nothing_and_encodes_alike(monkeypatch):
+    """Idle workers stand beside the next stage, so what they remember goes; between slices it stays."""
+    monkeypatch.setattr(bpe, "REST", 0.3)
+    codec, texts = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), odd_texts(300) * 2
+    held = lambda: [len(x) for m in (codec.pieces, codec.after_space, codec.after_line) for x in (m, m.old)] + [len(codec.known), len(codec.child), len(codec.last_of) - 1]
+    with codec.at_work():
+        first = [codec.encode(t) for t in texts]
+        time.sleep(0.6)
+        busy = held()
+    with codec.at_work():  # at once, before the rest is over
+        assert held() == busy and any(busy)
+    codec.rest.join(10)
+    assert not any(held())
+    with codec.at_work():
+        assert [codec.encode(t) for t in texts] == first
