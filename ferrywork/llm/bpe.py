@@ -157,8 +157,7 @@ class Codec:
         self.known: dict[int, bool] = {}
         self._split: dict[int, tuple[int, int] | None] = {}
         self.lengths = self._lengths()
-        self.child: dict[int, int] = {}
-        self.last_of = [0]
+        self.last_of: dict[bytes, int] = {b"": -1}
         self.pieces = Memo(self._piece, REMEMBERED // 4)
         self.after_space = Memo(partial(self._stretch, " "))
         self.after_line = Memo(partial(self._stretch, ""), REMEMBERED // 4)
@@ -190,8 +189,16 @@ class Codec:
             memo.forget()
         self.known.clear()
         self._split.clear()
-        self.child.clear()
-        del self.last_of[1:]
+        self._forget_prefixes()
+
+    def _forget_prefixes(self) -> None:
+        self.last_of.clear()
+        self.last_of[b""] = -1
+
+    @property
+    def child(self) -> set[bytes]:
+        """The prefixes remembered, beside the empty one that they grow from."""
+        return self.last_of.keys() - {b""}
 
     def _lengths(self) -> dict[bytes, tuple[int, ...]]:
         """Lengths, longest first, of the tokens that end in given four bytes, besides the short ones."""
@@ -259,38 +266,42 @@ class Codec:
         self.known[a << 32 | b] = ok
         return ok
 
+    def _last(self, prefix: bytes) -> int:
+        """The last token of a prefix; of the prefixes before it only those are worked out that a token leads to."""
+        n, ranks, last_of = len(prefix), self.ranks.get, self.last_of
+        for k in self.lengths.get(prefix[-4:], SHORT):
+            if k < n:
+                t = ranks(prefix[n - k :])
+                if t is None:
+                    continue
+                before = prefix[: n - k]
+                a = last_of.get(before)
+                if a is None:
+                    a = last_of[before] = self._last(before)
+                ok = self.known.get(a << 32 | t)
+                if self.fits(a, t) if ok is None else ok:
+                    return t
+            elif k == n and (t := ranks(prefix)) is not None and self.alone(t):
+                return t
+        raise ValueError(f"byte {prefix[-1]} has no token")
+
     def _piece(self, piece: str) -> str:
-        """Ids of one match of the pattern: its longest remembered prefix, exactly appended to."""
+        """Ids of one match of the pattern: its last token, that of the prefix before, and so on; long ones by a table."""
         data = piece.encode()
         t = self.ranks.get(data)
         if t is not None and self.alone(t):
             return self.names[t]
-        child, last_of, node, last = self.child, self.last_of, 0, []
-        add = last.append
-        try:
-            for byte in data:
-                node = child[node << 8 | byte]
-                add(last_of[node])
-        except KeyError:
-            have = len(last)
-            table = Prefixes(self)
-            table.data, table.last = data, last
-            table._extend(len(data), None)
-            if len(data) <= 64:
-                if len(last_of) > PREFIXES:
-                    child.clear()
-                    del last_of[1:]
-                else:
-                    at = len(last_of)
-                    for byte in data[have:]:
-                        child[node << 8 | byte] = node = at
-                        at += 1
-                    last_of += last[have:]
-        names, sizes, out, e = self.names, self.sizes, [], len(data)
-        while e:
-            t = last[e - 1]
+        if len(data) > 64:
+            return ",".join(map(self.names.__getitem__, Prefixes(self, data).ids()))
+        last_of, names, sizes, out = self.last_of, self.names, self.sizes, []
+        if len(last_of) > PREFIXES:
+            self._forget_prefixes()
+        while data:
+            t = last_of.get(data)
+            if t is None:
+                t = self._last(data)
             out.append(names[t])
-            e -= sizes[t]
+            data = data[: -sizes[t]]
         out.reverse()
         return ",".join(out)
 

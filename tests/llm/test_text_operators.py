@@ -177,3 +177,15 @@ def test_a_resting_codec_holds_nothing_and_encodes_alike(monkeypatch):
     assert not any(held())
     with codec.at_work():
         assert [codec.encode(t) for t in texts] == first
+
+
+def test_only_prefixes_that_a_token_leads_to_are_worked_out():
+    codec, rng = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), random.Random(8)
+    library = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    words = ["".join(rng.choice("aehtnoisré") for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+    size = 0
+    for word in words:
+        before = len(codec.child)
+        assert codec.encode(word) == library.encode_ordinary(word)
+        size += len(codec.child) - before
+    assert size < 0.7 * sum(len(w.encode()) for w in words)
