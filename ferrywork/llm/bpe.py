@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from ferrywork.llm.common import map_batches
+from ferrywork.llm.common import give_back, map_batches
 
 #: White space as the rank files' library defines it (Unicode White_Space); Python's \s holds four characters more.
 WHITE = "\t-\r \x85\xa0" + chr(0x1680) + f"{chr(0x2000)}-{chr(0x200A)}" + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -26,8 +26,8 @@ WHITE = "\t-\r \x85\xa0" + chr(0x1680) + f"{chr(0x2000)}-{chr(0x200A)}" + "".joi
 REMEMBERED, PLACE = 72_000_000, 64
 #: Marks (one byte each) of what was asked once; beyond half of them they are cleared.
 MARKS = 1 << 21
-#: Seconds without work after which a worker forgets all that. Spark keeps idle workers for a minute, beside stages that
-#: need the memory; the tasks of one stage follow each other faster.
+#: Seconds without work after which a worker forgets all that and drops its tables. Spark keeps idle workers as long as
+#: any of them works, beside stages that need the memory; the tasks of one stage follow each other faster.
 REST = 2.0
 
 
@@ -74,6 +74,8 @@ class Memo(dict):
 PREFIXES, PAIRS = 250_000, 150_000
 #: Lengths of tokens to try where no longer token ends in the last four bytes.
 SHORT = (4, 3, 2, 1)
+#: Attributes of a codec that its rank file gives, some 30 MB together.
+TABLES = ("ranks", "tokens", "names", "by_name", "sizes", "longest", "lengths")
 
 
 class Prefixes:
@@ -144,19 +146,13 @@ class Codec:
     """A rank file. encode() gives what merging by rank gives, decode() the bytes again."""
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.tokens = {t: b for b, t in self.ranks.items()}
-        self.by_name = {str(t): b for b, t in self.ranks.items()}
-        self.names, self.sizes = {t: str(t) for t in self.tokens}, {t: len(b) for t, b in self.tokens.items()}
-        self.longest = max(map(len, self.ranks))
+        self.path = path
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s+(?!\S)", f"[{WHITE}]+(?![^{WHITE}])").replace(r"\s+", f"[{WHITE}]+"))
         self.spaces = re.compile(f" (?=[^{WHITE}])")
         self.white = re.compile(f"[{WHITE}]").search
         self.lines = re.compile(f"(?<=[^{WHITE}])\n(?=[^{WHITE}])")
         self.known: dict[int, bool] = {}
         self._split: dict[int, tuple[int, int] | None] = {}
-        self.lengths = self._lengths()
         self.last_of: dict[bytes, int] = {b"": -1}
         self.pieces = Memo(self._piece, REMEMBERED // 4)
         self.after_space = Memo(partial(self._stretch, " "))
@@ -164,6 +160,19 @@ class Codec:
         self.line_end = f",{self._piece(chr(10))},"
         self.lock, self.rest = threading.Lock(), None
 
+    def __getattr__(self, name: str):
+        """The tables of the rank file are read when one is asked for, and again after a rest."""
+        if name not in TABLES:
+            raise AttributeError(name)
+        with open(self.path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        tokens = {t: b for b, t in ranks.items()}
+        names = {t: str(t) for t in tokens}
+        made = (ranks, tokens, names, {names[t]: b for t, b in tokens.items()}, {t: len(b) for t, b in tokens.items()}, max(map(len, ranks)), self._lengths(ranks))
+        tables = dict(zip(TABLES, made, strict=True))
+        self.__dict__.update(tables)
+        return tables[name]
+
     @contextmanager
     def at_work(self) -> Iterator[Codec]:
         """What it remembers stays meanwhile, and goes REST seconds after the last of these ends."""
@@ -181,7 +190,9 @@ class Codec:
         with self.lock:
             if self.rest is threading.current_thread():  # else work came in between
                 self.forget()
-                pa.default_memory_pool().release_unused()
+                for name in TABLES:
+                    self.__dict__.pop(name, None)
+                give_back()
 
     def forget(self) -> None:
         """Empties all that is only remembered; what is asked again is worked out again."""
@@ -200,10 +211,11 @@ class Codec:
         """The prefixes remembered, beside the empty one that they grow from."""
         return self.last_of.keys() - {b""}
 
-    def _lengths(self) -> dict[bytes, tuple[int, ...]]:
+    @staticmethod
+    def _lengths(ranks: dict[bytes, int]) -> dict[bytes, tuple[int, ...]]:
         """Lengths, longest first, of the tokens that end in given four bytes, besides the short ones."""
         found: dict[bytes, set[int]] = {}
-        for token in self.ranks:
+        for token in ranks:
             if len(token) > 4:
                 found.setdefault(token[-4:], set()).add(len(token))
         return {end: (*sorted(lengths, reverse=True), *SHORT) for end, lengths in found.items()}
@@ -357,8 +369,9 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, ids: str = "id
     """Per row: doc_id, data (binary): the bytes of the ids; null ids give no bytes."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec(path, pattern)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
+        with codec(path, pattern).at_work() as c:
+            data = [c.decode(x or []) for x in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
 
     return map_batches(encoded.selectExpr(f"cast(`{key}` as bigint) as doc_id", f"`{ids}` as ids"), one, "doc_id long, data binary")
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from pathlib import Path
 
 import numpy as np
@@ -30,6 +32,14 @@ def ensure_worker_path(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *parts])
 
 
+def give_back() -> None:
+    """Returns to the system what this process's allocators hold and do not use. Idle Python workers live on beside the
+    next stage, within the memory of their executor."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
     """mapInArrow over slices of bounded size, so long texts never pile up in Python."""
     ensure_worker_path(df.sparkSession)
@@ -43,6 +53,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
                     yield from out.to_batches()
                 elif out is not None:
                     yield out
+        batch = out = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 

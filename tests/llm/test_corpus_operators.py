@@ -495,3 +495,11 @@ def test_stages_of_odd_rows(spark, docs, no_docs):
         assert stage(spark, no_docs, "").count() == 0
     near = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
     assert sum(r["doc_id"] is None for r in near) == 1 and {r["doc_id"] for r in near if r["doc_id"] is not None} == {0, 3, 5}
+
+
+def test_workers_of_substring_dedup_need_no_pandas():
+    """Its import takes some 27 MB of each of the many Python workers of an executor."""
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", "import sys, ferrywork.llm.substring; assert 'pandas' not in sys.modules"], check=True, cwd=substring.__file__.split("/ferrywork/")[0])

@@ -179,6 +179,19 @@ def test_a_resting_codec_holds_nothing_and_encodes_alike(monkeypatch):
         assert [codec.encode(t) for t in texts] == first
 
 
+def test_a_resting_codec_drops_its_tables(monkeypatch):
+    """Spark keeps idle workers while any works, so the rank file's tables must not stay beside the next stages."""
+    monkeypatch.setattr(bpe, "REST", 0.3)
+    codec = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    large = lambda: [k for k, v in vars(codec).items() if isinstance(v, (dict, list, set)) and len(v) > 1000]
+    with codec.at_work():
+        ids = codec.encode("unhappily tokenised")
+        assert large()
+    codec.rest.join(10)
+    assert not large()
+    assert codec.encode("unhappily tokenised") == ids and codec.decode(ids) == b"unhappily tokenised"
+
+
 def test_only_prefixes_that_a_token_leads_to_are_worked_out():
     codec, rng = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), random.Random(8)
     library = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
